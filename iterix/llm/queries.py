@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from iterix.llm.language_id import op2_language_id
 from iterix.llm.near_dup import op5_minhash_near_dup
+from iterix.llm.packing import op8_packing
+from iterix.llm.quality import op10_quality
+from iterix.llm.token_counts import op6_token_counts
+from iterix.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op5_minhash_near_dup": op5_minhash_near_dup,
+    "op6_token_counts": op6_token_counts,
+    "op7_token_files": op7_token_files,
+    "op8_packing": op8_packing,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {}
