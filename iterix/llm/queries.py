@@ -10,11 +10,13 @@ from iterix.llm.language_id import op2_language_id
 from iterix.llm.near_dup import op5_minhash_near_dup
 from iterix.llm.packing import op8_packing
 from iterix.llm.quality import op10_quality
+from iterix.llm.segmentations import op4_segmentations
 from iterix.llm.token_counts import op6_token_counts
 from iterix.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op4_segmentations": op4_segmentations,
     "op5_minhash_near_dup": op5_minhash_near_dup,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
