@@ -13,6 +13,7 @@ from iterix.llm.quality import op10_quality
 from iterix.llm.segmentations import op4_segmentations
 from iterix.llm.token_counts import op6_token_counts
 from iterix.llm.token_files import op7_token_files
+from iterix.llm.vector_dup import op9_vector_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op9_vector_dup": op9_vector_dup,
     "op10_quality": op10_quality,
 }
 
