@@ -9,6 +9,7 @@ characters outside a proven range) are encoded whole by the library.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -26,7 +27,7 @@ WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SP
 
 
 class Encoder:
-    """ids(text): the little-endian unsigned 32-bit ids of a text, as bytes. kind: 'byte' or 'word'."""
+    """Ids of texts by the library's file at path. kind: 'byte' or 'word'."""
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -37,7 +38,9 @@ class Encoder:
         self.lower = kind == "word"
         self.find = (WORD_LEVEL if self.lower else BYTE_LEVEL).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.tokenizer.encode("5" if self.lower else "\n", add_special_tokens=False).ids[0]
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -49,24 +52,61 @@ class Encoder:
             return None
         return self.find(text.lower() if self.lower else text)
 
+    def merged(self, tokens: list[str]) -> list[bytes]:
+        """The ids of distinct pre-tokens, from one call of the library.
+
+        They go in one text with a separator between them: a pre-token of one id that no
+        other pre-token's ids hold. White space goes alone, and so does the separator.
+        """
+        mark, gap = ("5", " ") if self.lower else ("\n", "")
+        inner = [t for t in tokens if t != mark and not t.isspace()]
+        lone = [t for t in tokens if t == mark or t.isspace()]
+        parts = [mark] * (2 * len(inner) - 1)
+        parts[::2] = inner
+        joined = gap.join(parts)
+        found = dict(zip(lone, self._whole(lone)))
+        if inner and self.find(joined) == parts:
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(ids == self.mark)
+            if len(cut) == len(inner) - 1:
+                raw, at = ids.tobytes(), (4 * cut).tolist()
+                found.update((t, raw[i:j]) for t, i, j in zip(inner, [0, *(x + 4 for x in at)], [*at, len(raw)]))
+                return [found[t] for t in tokens]
+        return self._whole(tokens)
+
     def learn(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if t not in self.cache]
+        new = tokens.difference(self.cache)
+        if len(self.cache) + len(new) > _CACHE_LIMIT:  # what is still in use moves over to the new cache
+            self.old, self.cache = self.cache, {}
+            new = tokens
+        known = new.intersection(self.old)
+        self.cache.update((t, self.old[t]) for t in known)
+        new = list(new.difference(known))
         if new:
-            if len(self.cache) + len(new) > _CACHE_LIMIT:
-                self.cache = {}
-                new = list(tokens)
-            self.cache.update(zip(new, self._whole(new)))
+            self.cache.update(zip(new, self.merged(new)))
 
-    def ids(self, text: str) -> bytes:
-        tokens = self.pre_tokens(text)
-        if tokens is None:
-            return self._whole([text])[0]
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """The little-endian unsigned 32-bit ids of each text; pre-tokens not met before are merged together."""
+        cut = [self.pre_tokens(t) for t in texts]
+        self.learn(set().union(*(c for c in cut if c)))
         get = self.cache.__getitem__
-        try:
-            return b"".join(map(get, tokens))
-        except KeyError:
-            self.learn(set(tokens))
-            return b"".join(map(self.cache.__getitem__, tokens))
+        return [self._whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+
+    def ids(self, text: str) -> bytes:
+        return self.all_ids([text])[0]
+
+
+def runs(texts: list[str], limit: int = 1 << 19) -> Iterator[list[str]]:
+    """texts in turn, in lists of about limit characters; one longer text comes alone."""
+    held, chars = [], 0
+    for text in texts:
+        if held and chars + len(text) > limit:
+            yield held
+            held, chars = [], 0
+        held.append(text)
+        chars += len(text)
+    if held:
+        yield held
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -82,8 +82,10 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> DataF
         enc, end = _bpe.encoder(tokenizer, "byte"), end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).fill_null("")):
-                ids = enc.ids(text.as_py()) + end
+            texts = batch.column(1).fill_null("").to_pylist()
+            found = (ids for run in _bpe.runs(texts) for ids in enc.all_ids(run))
+            for doc, ids in zip(batch.column(0).to_pylist(), found):
+                ids += end
                 n = len(ids) // 4
                 rows += [(doc, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

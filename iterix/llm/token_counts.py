@@ -40,7 +40,7 @@ class Counter:
     def __init__(self, name: str):
         self.encoder = _bpe.encoder(name, "byte")
         self.whole = dict.fromkeys(proven_whole(self.encoder), 1)
-        self.counts = dict(self.whole)
+        self.counts, self.old = dict(self.whole), {}
 
     def count(self, text: str) -> int:
         tokens = self.encoder.pre_tokens(text)
@@ -51,11 +51,12 @@ class Counter:
         except KeyError:
             distinct = set(tokens)
             new = [t for t in distinct if t not in self.counts]
-            if len(self.counts) + len(new) > _CACHE_LIMIT:
-                self.counts = dict(self.whole)
+            if len(self.counts) + len(new) > len(self.whole) + _CACHE_LIMIT:
+                self.old, self.counts = self.counts, dict(self.whole)
                 new = [t for t in distinct if t not in self.counts]
-            merged = self.encoder.tokenizer.encode_batch(new, add_special_tokens=False)
-            self.counts.update((t, len(x.ids)) for t, x in zip(new, merged))
+            self.counts.update((t, self.old[t]) for t in new if t in self.old)
+            new = [t for t in new if t not in self.counts]
+            self.counts.update((t, len(ids) // 4) for t, ids in zip(new, self.encoder.merged(new)))
             return sum(map(self.counts.__getitem__, tokens))
 
 

@@ -61,8 +61,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", ki
                 files = [system.open_output_stream(f"{path}/{stem}.{x}") for x in ("ids", "off", "doc")]
                 files[1].write(np.zeros(1, "<i8").tobytes())
             lengths = np.empty(batch.num_rows, "<i8")
-            for k, text in enumerate(batch.column(1).fill_null("")):
-                ids = np.frombuffer(enc.ids(text.as_py()) + end, "<u4")
+            texts = batch.column(1).fill_null("").to_pylist()
+            for k, raw in enumerate(ids for run in _bpe.runs(texts) for ids in enc.all_ids(run)):
+                ids = np.frombuffer(raw + end, "<u4")
                 lengths[k] = len(ids)
                 files[0].write(ids.astype(kind_of).tobytes())
             files[1].write((n_ids + np.cumsum(lengths)).astype("<i8").tobytes())
