@@ -49,56 +49,70 @@ class LanguageConfig:
     seed: int = 5
 
 
+_SEEN_LIMIT = 300_000
+
+
+class _Rows(dict):
+    """The row of each word in a table of scores; words not met before are scored as they come."""
+
+    def __init__(self, score, width: int):
+        super().__init__()
+        self.score, self.table = score, np.zeros((1024, width))
+
+    def __missing__(self, word: str) -> int:
+        n = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[n] = self.score(word)
+        self[word] = n
+        return n
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)
+    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    grams: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
     orders: tuple[int, ...] = (5, 4, 3, 2, 1)
     evidence_words: int = 12
-    _seen: dict[str, np.ndarray] = field(default_factory=dict)
+    _rows: _Rows | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_seen": {}}
+        return self.__dict__ | {"_rows": None}
 
-    def word_scores(self, word: str) -> np.ndarray:
+    def word_scores(self, word: str) -> tuple[float, ...]:
         known = self.words.get(word)
         if known is not None:
             return known
-        known = self._seen.get(word)
-        if known is None:
-            known = self._back_off(word)
-            if len(self._seen) > 200_000:
-                self._seen.clear()
-            self._seen[word] = known
-        return known
-
-    def _back_off(self, word: str) -> np.ndarray:
         marked = f"<{word}>"
         for order in self.orders:
             table = self.grams.get(order, {})
             found = [g for k in range(len(marked) - order + 1) if (g := table.get(marked[k : k + order])) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return UNKNOWN, 0.0
-        counts = Counter(_WORD.findall(text.lower()))
-        if not counts:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
-        for word, n in counts.items():
-            total += n * self.word_scores(word)
-        n = sum(counts.values())
-        evidence = total / n * min(n, self.evidence_words)
-        share = np.exp(evidence - evidence.max())
-        best = int(np.argmax(share))
-        return self.languages[best], float(share[best] / share.sum())
-
-
-def _log_shares(by_language: list[Counter], limit: int, smoothing: float) -> dict[str, np.ndarray]:
+                return tuple(sum(x) / len(found) for x in zip(*found))
+        return (0.0,) * len(self.languages)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        out = []
+        for text in texts:
+            words = _WORD.findall(text.lower()) if text else []
+            if not words:
+                out.append((UNKNOWN, 0.0))
+                continue
+            if self._rows is None or len(self._rows) > _SEEN_LIMIT:
+                self._rows = _Rows(self.word_scores, len(self.languages))
+            at = np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))
+            evidence = self._rows.table[at].mean(axis=0) * min(len(words), self.evidence_words)
+            share = np.exp(evidence - evidence.max())
+            best = int(np.argmax(share))
+            out.append((self.languages[best], float(share[best] / share.sum())))
+        return out
+
+
+def _log_shares(by_language: list[Counter], limit: int, smoothing: float) -> dict[str, tuple[float, ...]]:
     kept: set[str] = set()
     for c in by_language:
         kept.update(k for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:limit])
@@ -109,7 +123,7 @@ def _log_shares(by_language: list[Counter], limit: int, smoothing: float) -> dic
     out = {}
     for k in kept:
         row = np.array([math.log((c[k] + smoothing) / whole) for c, whole in logs])
-        out[k] = row - row.mean()  # only differences between languages matter; a gram of another length then weighs alike
+        out[k] = tuple((row - row.mean()).tolist())  # only differences between languages matter; a gram of another length then weighs alike
     return out
 
 
@@ -119,7 +133,7 @@ def fit(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> Language
 
     rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(cfg.seed)).alias("h"))
     # the lowest hashes of each language: a partial top-k in every task, so no language lands in one
-    low = rows.groupBy("lang").agg(F.expr(f"count(*)").alias("n"))
+    low = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = {r["lang"]: min(1.0, 2.0 * cfg.sample_docs / max(1, r["n"])) for r in low.collect()}
     if not share:
         return LanguageModel([])
@@ -160,7 +174,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column(2)]
+            found = m.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
