@@ -1,12 +1,15 @@
-"""Shared storage and connected components."""
+"""Shared storage, row filters and connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +34,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_rows(df: DataFrame, keep: Callable[[list], Iterable[bool]]) -> DataFrame:
+    """The rows of df, all columns as they are, for which keep(texts) says so."""
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = pa.array(list(keep(batch.column(1))), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask)], ["row"])
+
+    return whole.mapInArrow(choose, T.StructType([whole.schema["row"]])).select("row.*")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the smallest node reachable.
 

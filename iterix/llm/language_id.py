@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from iterix.llm._links import kept_rows
 from iterix.session import ship
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -181,6 +182,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return given.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs (text, ...) with a language of at least that score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, lambda texts: [lang != UNKNOWN and score >= least for lang, score in shared.value.predict(texts.to_pylist())])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, fit(docs.where(~held_out(4, 2))))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iterix.llm import _text
+from iterix.llm._links import kept_rows
 from iterix.llm.language_id import held_out
 from iterix.session import ship
 
@@ -79,7 +80,6 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     loud[1:] = upper[1:] & upper[:-1]
     stop = (raw == 46) | (raw == 44)
     lines = total(raw == 10)
-    # longest stretches matter in mixed texts: the most of each kind in a block of 256 bytes
     per = [total(symbol), total(upper), total(lower), total(_DIGIT[raw]), total(bang), total(bar), total(raw >= 128), total(space), total(tail), total(loud), total(stop)]
     columns = [
         np.log1p(n_words) / 10,
@@ -221,6 +221,11 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataF
     return given.mapInArrow(rate, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs (text, ...) that score the threshold or more."""
+    return kept_rows(docs, lambda texts: (model.score(batch_statistics(texts)) >= threshold).tolist())
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
