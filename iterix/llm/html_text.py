@@ -12,7 +12,8 @@ is the result.
 Character references are decoded once, white space in a block becomes one space, blocks
 are trimmed and joined in page order by a blank line. Nothing else is dropped or cut.
 
-Bounds: `sample` labelled pages for the weights; every page is read whole.
+Bounds: about `sample` pages, of which the labelled ones give the weights, and the
+`max_tags` commonest tags; every page is read whole.
 Defined cases: null, empty or wordless pages give an empty text; unclosed tags,
 comments and truncated pages are read as far as they go; of regions with equal sums the
 first; repeated rows repeat; other columns are ignored.
@@ -52,11 +53,13 @@ _SKIP = frozenset("head nav footer aside form header button select option dialog
 _BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = ("article", "main")
+_MARKED = re.compile(r"<(?:article|main)\b", re.I)
 
 
 @dataclass(frozen=True)
 class HtmlConfig:
-    sample: int = 400
+    sample: int = 2000
+    max_tags: int = 1000
     word: float = 1.0
     other_word: float = -0.4
     unseen_tag: float = -0.5
@@ -163,21 +166,45 @@ class HtmlModel:
         return "\n\n".join(t for t in joined if t)
 
 
-def fit_pages(pages: list[str], cfg: HtmlConfig = HtmlConfig()) -> HtmlModel:
+def weigh(inside: Counter, outside: Counter, cfg: HtmlConfig = HtmlConfig()) -> HtmlModel:
+    """Weights from how often each tag stands within and outside articles."""
+    tags = {t: max(cfg.largest, min(cfg.least, math.log((inside[t] + 1) / (outside[t] + 1)))) for t in inside | outside}
+    return HtmlModel(tags, cfg)
+
+
+def fit_pages(pages: list[str | None], cfg: HtmlConfig = HtmlConfig()) -> HtmlModel:
+    return weigh(*_counts(pages), cfg)
+
+
+def _counts(pages: list[str | None]) -> tuple[Counter, Counter]:
     inside: Counter = Counter()
     outside: Counter = Counter()
     for page in pages:
-        i, o = tag_counts(page)
-        inside += i
-        outside += o
-    tags = {t: max(cfg.largest, min(cfg.least, math.log((inside[t] + 1) / (outside[t] + 1)))) for t in inside | outside}
-    return HtmlModel(tags, cfg)
+        if page and _MARKED.search(page):
+            i, o = tag_counts(page)
+            inside += i
+            outside += o
+    return inside, outside
 
 
 def fit(pages: DataFrame, cfg: HtmlConfig = HtmlConfig()) -> HtmlModel:
-    """Weights from the `sample` labelled pages of the lowest id hashes."""
-    marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select("html", F.xxhash64("page_id").alias("h"))
-    return fit_pages([r["html"] for r in marked.orderBy("h", "html").limit(cfg.sample).collect()], cfg)
+    """Weights from the labelled ones of about `sample` pages, chosen by a hash of the id. Only counts of tags come to the driver."""
+    whole = pages.count()
+    h = F.xxhash64("page_id", "url")
+    if whole > cfg.sample:
+        pages = pages.where(h < int(-(2**63) + cfg.sample / whole * 2**64))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inside, outside = _counts(batch.column(0).to_pylist())
+            tags = list(inside | outside)
+            columns = [[t for t, _ in tags], [a for _, a in tags], [inside[t] for t in tags], [outside[t] for t in tags]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.int64()))], ["tag", "aside", "inside", "outside"])
+
+    found = pages.select(F.col("html").cast("string").alias("html")).mapInArrow(count, "tag string, aside boolean, inside long, outside long")
+    sums = found.groupBy("tag", "aside").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    rows = sums.orderBy(F.desc(F.col("inside") + F.col("outside")), "tag", "aside").limit(cfg.max_tags).collect()
+    return weigh(Counter({(r.tag, r.aside): r.inside for r in rows}), Counter({(r.tag, r.aside): r.outside for r in rows}), cfg)
 
 
 def main_text(pages: DataFrame, model: HtmlModel) -> DataFrame:
