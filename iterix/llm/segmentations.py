@@ -10,16 +10,18 @@ Gumbel top-k by A-star search (Maddison et al. 2014; Kool et al. 2019): the queu
 sets of segmentations that share a prefix and avoid some edges at its end. Each has the
 greatest perturbed log probability in it, drawn from its exact mass, truncated at its
 parent's. Taking the best set gives the next sample and splits the rest of the set in
-disjoint sets, one for each edge of the sample. The k samples are distinct; with kappa,
+disjoint sets, one for each edge of the sample; these wait as one, and are told apart
+when their best is taken. The k samples are distinct; with kappa,
 the best value left in the queue, a sample's inclusion score is the probability
 1 - exp(-exp(log_prob - kappa)) that it is among the k.
 
-No piece spans a word's start, so the lattice is a chain of word lattices: each
-distinct word of a batch is built once, and the words of all texts of a batch are
-walked together in numpy. All randomness is a hash of (seed, row key, place), so a row
+No piece spans a word's start, so the lattice is a chain of word lattices: those of
+frequent words are kept, and the words of all texts of a batch are walked together in
+numpy. All randomness is a hash of (seed, row key, place), so a row
 gets the same samples wherever it is computed.
 
-Whole texts are used. Memory follows `batch_chars`, or the longest text if that is more.
+Whole texts are used. Memory follows `batch_chars`, or the longest text if that is more, and
+`kept_edges`.
 Defined cases: null and empty texts have one segmentation, of no pieces, with
 probability and inclusion 1; a text with fewer than k segmentations gives them all,
 with inclusion 1; characters without a piece are their UTF-8 byte pieces; rows that
@@ -55,6 +57,7 @@ class SegmentationConfig:
     seed: int = 17
     unknown_rank: int = 10_000_000
     batch_chars: int = 1 << 19
+    kept_edges: int = 4_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -69,7 +72,10 @@ def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def _unit(key: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1) from hashes."""
-    return ((mix(key) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+    u = (mix(key) >> _U(11)).astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
 
 
 def _gumbel(key: np.ndarray) -> np.ndarray:
@@ -95,6 +101,9 @@ class Vocabulary:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 pieces[piece] = i
                 self.surface[i] = piece.encode()
+        self.bytes_of = np.array([len(x) for x in self.surface], np.int32)
+        self.bytes_at = (np.cumsum(self.bytes_of) - self.bytes_of).astype(np.int32)
+        self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
         ranked = sorted(pieces, key=lambda p: (-sp.get_score(pieces[p]), pieces[p]))
         self.rank = np.zeros(n)
         for r, p in enumerate(ranked):
@@ -150,6 +159,22 @@ class Vocabulary:
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def spells(self, ids: np.ndarray, n: np.ndarray, texts: list[str | None]) -> np.ndarray:
+        """Whether each text's n ids decode to it."""
+        whole = [normalise(t).encode("utf-8", "surrogatepass") for t in texts]
+        size = np.array([len(w) for w in whole], np.int64)
+        width = self.bytes_of[ids]
+        ends = np.concatenate([[0], np.cumsum(width)])
+        head = np.cumsum(n) - n
+        out = ends[head + n] - ends[head] == size
+        if out.all() and len(ids):
+            same = self.flat[_spans(self.bytes_at[ids], width)] == np.frombuffer(b"".join(whole), np.uint8)
+            full = np.flatnonzero(size)
+            out[full] = np.logical_and.reduceat(same, (np.cumsum(size) - size)[full])
+        elif len(ids):  # lengths differ somewhere: text by text
+            out = np.array([b"".join(self.surface[i] for i in ids[h : h + m]) == w for h, m, w in zip(head, n, whole)], bool)
+        return out
+
     def decode(self, ids) -> str:
         """The text of a sequence of ids."""
         text = b"".join(self.surface[i] for i in ids).decode("utf-8", "replace").replace(SPACE, " ")
@@ -157,96 +182,138 @@ class Vocabulary:
 
 
 class Lattice:
-    """The lattices of many words: edges in node order, with their conditional log probabilities."""
-
-    def __init__(self, words: list[str], vocabulary: Vocabulary, cfg: SegmentationConfig):
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        lengths = np.array([len(w) for w in words], np.int64)
-        self.first = np.cumsum(lengths + 1) - (lengths + 1)  # of each word's nodes; one more ends it
+    """The lattices of many words: edges in node order, with their conditional log probabilities. Words can be added, and the last ones taken off."""
+
+    #: Of a node: its first edge (-1 at its word's end), its number of edges, its character.
+    NODES = {"begin": np.int32, "degree": np.int32, "point": np.int32}
+    #: Of an edge: the nodes it joins, its piece (-1: none), its log probability at its node, the sum of probabilities up to it there, that of all others.
+    EDGES = {"start": np.int32, "stop": np.int32, "piece": np.int32, "logp": np.float64, "cum": np.float64, "rest": np.float64}
+
+    def __init__(self, vocabulary: Vocabulary, cfg: SegmentationConfig):
+        self.vocabulary = vocabulary
+        self.weights = -cfg.alpha * np.log1p(np.append(vocabulary.rank, cfg.unknown_rank))
+        self.size = (0, 0, 0)  # words, nodes, edges
+        self.first = np.zeros(1024, np.int32)
+        for name, kind in (self.NODES | self.EDGES).items():
+            setattr(self, name, np.zeros(8192, kind))
+
+    def add(self, words: list[str]) -> None:
+        if not words:
+            return
+        n_words, n_nodes, n_edges = self.size
+        new = self._of(words)
+        first, nodes, edges = new.pop("first"), len(new["begin"]), len(new["start"])
+        self.size = (n_words + len(first), n_nodes + nodes, n_edges + edges)
+        self._put("first", n_words, first + n_nodes)
+        new["begin"][new["begin"] >= 0] += n_edges
+        new["start"] += n_nodes
+        new["stop"] += n_nodes
+        for name in self.NODES:
+            self._put(name, n_nodes, new[name])
+        for name in self.EDGES:
+            self._put(name, n_edges, new[name])
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        if at + len(values) > len(held):
+            grown = np.zeros(max(2 * len(held), at + len(values)), held.dtype)
+            grown[:at] = held[:at]
+            setattr(self, name, held := grown)
+        held[at : at + len(values)] = values
+
+    def _of(self, words: list[str]) -> dict[str, np.ndarray]:
+        vocabulary = self.vocabulary
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        lengths = np.array([len(w) for w in words], np.int32)
+        first = (np.cumsum(lengths + 1) - (lengths + 1)).astype(np.int32)  # of each word's nodes; one more ends it
         n_nodes = int((lengths + 1).sum())
         letter = np.full(n_nodes, -1, np.int32)
-        at = _spans(self.first, lengths)
+        at = _spans(first, lengths).astype(np.int32)
         letter[at] = vocabulary.letter[points]
-        point = np.zeros(n_nodes, np.int64)
+        point = np.zeros(n_nodes, np.int32)
         point[at] = points
-        self.end = np.ones(n_nodes, bool)
-        self.end[at] = False
         found = []
         live, node, reach = at, np.zeros(len(at), np.int64), at
         single = np.zeros(n_nodes, bool)
-        self.degree = np.zeros(n_nodes, np.int64)
+        degree = np.zeros(n_nodes, np.int32)
         while len(live):
             node = vocabulary.child(node, letter[reach])
-            on = node > 0
+            on = np.flatnonzero(node)
             live, node, reach = live[on], node[on], reach[on] + 1
             of = vocabulary.final[node]
-            hit = of >= 0
-            live_hit = live[hit]
+            hit = np.flatnonzero(of >= 0)
+            starts = live[hit]
             if not found:  # one letter; a character without a piece still has an edge
-                single[live_hit] = True
+                single[starts] = True
                 lone = at[~single[at]]
-                found.append((lone, lone + 1, np.full(len(lone), -1), self.degree[lone]))
-                self.degree[lone] += 1
-            found.append((live_hit, reach[hit], of[hit], self.degree[live_hit]))
-            self.degree[live_hit] += 1
-        self.point = point
-        self.begin = np.cumsum(self.degree) - self.degree
-        n_edges = int(self.degree.sum())
-        self.start, self.stop, self.piece = (np.zeros(n_edges, np.int32) for _ in range(3))
-        for start, stop, piece, nth in found:  # a node's longest edge, often the likeliest, comes first
-            to = self.begin[start] + self.degree[start] - 1 - nth
-            self.start[to], self.stop[to], self.piece[to] = start, stop, piece
-        weight = (-cfg.alpha * np.log1p(np.append(vocabulary.rank, cfg.unknown_rank)))[self.piece]
+                found.append((lone, lone + 1, np.full(len(lone), -1, np.int32), degree[lone]))
+                degree[lone] += 1
+            found.append((starts, reach[hit], of[hit], degree[starts]))
+            degree[starts] += 1
+        begin = (np.cumsum(degree) - degree).astype(np.int32)
+        n_edges = int(degree.sum())
+        start, stop, piece = (np.zeros(n_edges, np.int32) for _ in range(3))
+        for starts, stops, pieces, nth in found:  # a node's longest edge, often the likeliest, comes first
+            to = begin[starts] + degree[starts] - 1 - nth
+            start[to], stop[to], piece[to] = starts, stops, pieces
+        weight = self.weights[piece]
         # mass from each node to its word's end, nearest nodes first
         mass = np.zeros(n_nodes)
-        distance = np.repeat(self.first + lengths, lengths + 1) - np.arange(n_nodes)
+        distance = np.repeat(first + lengths, lengths + 1) - np.arange(n_nodes, dtype=np.int32)
         by = np.argsort(distance, kind="stable")
         cut = np.searchsorted(distance[by], np.arange(1, int(lengths.max(initial=0)) + 2))
         for lo, hi in zip(cut[:-1], cut[1:]):
             nodes = by[lo:hi]
-            edges = _spans(self.begin[nodes], self.degree[nodes])
-            value = weight[edges] + mass[self.stop[edges]]
-            head = np.cumsum(self.degree[nodes]) - self.degree[nodes]
+            n = degree[nodes]
+            edges = _spans(begin[nodes], n)
+            value = weight[edges] + mass[stop[edges]]
+            head = np.cumsum(n) - n
             top = np.maximum.reduceat(value, head)
-            mass[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, self.degree[nodes])), head))
-        self.logp = weight + mass[self.stop] - mass[self.start]
-        p = np.exp(self.logp)
+            mass[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), head))
+        logp = weight + mass[stop] - mass[start]
+        p = np.exp(logp)
+        inner = np.flatnonzero(degree)
+        heads = begin[inner]
         total = np.cumsum(p)
-        inner = self.degree > 0
         before = np.zeros(n_nodes)
-        before[inner] = total[self.begin[inner]] - p[self.begin[inner]]
-        self.cum = total - before[self.start]
-        self.cum[self.begin[inner] + self.degree[inner] - 1] = 2.0  # the last edge takes the rest
-        # the log mass of an edge's siblings; where it is small, summed without the edge
+        before[inner] = total[heads] - p[heads]
+        cum = total - before[start]
+        cum[heads + degree[inner] - 1] = 2.0  # the last edge takes the rest
+        # the mass of an edge's siblings; where it is small, summed without the edge
         rest = 1 - p
-        if len(p):
+        large = np.flatnonzero(p > 0.5)
+        if len(large):
             small = np.zeros(n_nodes)
-            small[inner] = np.add.reduceat(np.where(p > 0.5, 0.0, p), self.begin[inner])
-            rest = np.where(p > 0.5, small[self.start], rest)
-        with np.errstate(divide="ignore"):
-            self.rest = np.log(rest)
+            p[large] = 0.0
+            small[inner] = np.add.reduceat(p, heads)
+            rest[large] = small[start[large]]
+        begin[degree == 0] = -1
+        return {"first": first, "begin": begin, "degree": degree, "point": point, "start": start, "stop": stop, "piece": piece, "logp": logp, "cum": cum, "rest": rest}
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled edges from each node to its word's end: (walk, edge), in order."""
-        walks, edges, which = [], [], np.arange(len(node))
+        """Sampled edges from each node to its word's end: the number of each walk's, and the edges, walk by walk."""
+        taken, which = [], np.arange(len(node), dtype=np.int32)
+        lengths = np.zeros(len(node), np.int64)
         while True:
-            on = ~self.end[node]
-            which, node, key = which[on], node[on], key[on]
-            if not len(which):
+            edge = self.begin[node]
+            on = np.flatnonzero(edge >= 0)
+            if not len(on):
                 break
-            edge, u = self.begin[node], _unit(key)
+            if len(on) < len(edge):
+                which, edge, key = which[on], edge[on], key[on]
+            u = _unit(key)
             more = np.flatnonzero(self.cum[edge] <= u)
             while len(more):
                 edge[more] += 1
                 more = more[self.cum[edge[more]] <= u[more]]
-            walks.append(which)
-            edges.append(edge)
+            lengths[which] += 1
+            taken.append((which, edge))
             node, key = self.stop[edge], key + _STEP
-        if not walks:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        walks, edges = np.concatenate(walks), np.concatenate(edges)
-        order = np.argsort(walks, kind="stable")
-        return walks[order], edges[order]
+        start = np.cumsum(lengths) - lengths
+        edges = np.zeros(int(lengths.sum()), np.int32)
+        for k, (which, edge) in enumerate(taken):  # every walk takes one step a turn
+            edges[start[which] + k] = edge
+        return lengths, edges
 
 
 @dataclass
@@ -261,101 +328,132 @@ class Samples:
 
 
 class Search:
-    """The queues of many texts, worked in step. One round takes the best set of every text."""
+    """The queues of many texts, worked in step. One round takes the best set of every text.
+
+    A path's sets, one for each step that it could have left at, wait as one: the
+    greatest value in all of them is drawn from their total mass, and the set that
+    holds it in proportion to their masses.
+    """
 
     def __init__(self, lattice: Lattice, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, rounds: int):
         """words: of all texts in turn, as numbers of the lattice; counts: words of each text; keys: of each text."""
         self.lat, self.words, self.counts, self.keys, self.rounds = lattice, words, counts, keys, rounds
         self.word_first = np.cumsum(counts) - counts
         n = len(counts)
-        self.edges, self.place, self.value, self.before = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        self.at = np.zeros((rounds, n), np.int64)  # of each path: where it starts, its length, its first edge of its own
-        self.size = np.zeros((rounds, n), np.int64)
-        self.own = np.zeros((rounds, n), np.int64)
-        self.best = np.full((rounds, n), -np.inf)  # the best set on each path, and the edge it branches off at
-        self.branch = np.zeros((rounds, n), np.int64)
-        self.avoid = np.full((rounds, n, rounds), -1, np.int64)  # edges that the first own edge's set avoids
-
-    def _key(self, text: np.ndarray, turn: int, use: int) -> np.ndarray:
-        return mix(self.keys[text] + _U((turn * 4 + use + 1) * int(_STEP) & (2**64 - 1)))
+        self.used = 0  # of the three below: the paths' edges, their words' places, and the masses of the sets that leave there
+        self.edges, self.place, self.mass = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+        ints = lambda: np.zeros((rounds, n), np.int64)
+        self.at, self.size, self.own, self.branch = ints(), ints(), ints(), ints()  # where a path starts, its length, its first step of its own, where its best set leaves
+        self.before = np.zeros((rounds, n))  # the log probability of the steps that are not its own
+        self.top = np.zeros((rounds, n))  # what its sets are truncated at
+        self.best = np.full((rounds, n), -np.inf)
+        self.taken = ints()  # how many of its sets were taken
+        self.avoid = np.full((rounds, n, rounds), -1, np.int64)  # edges that the set at the first own step avoids
+
+    def _key(self, text: np.ndarray, turn: int | np.ndarray, use: int) -> np.ndarray:
+        step = (np.asarray(turn, np.uint64) * _U(4) + _U(use + 1)) * np.full(1, _STEP)
+        return mix(self.keys[text] + step)
 
     def _suffix(self, text: np.ndarray, turn: int, word: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, word place, edge) from a node of a word of each text (node -1: from that word's start) to the text's end."""
+        """(number of steps of each text, word places, edges) from a node of a word of each text (node -1: from that word's start) to the text's end."""
         n = self.word_first[text] + self.counts[text] - word
         place = _spans(word, n)
-        of = np.repeat(np.arange(len(text)), n)
         begin = self.lat.first[self.words[place]]
-        inside = (place == word[of]) & (node[of] >= 0)
-        begin[inside] = node[of[inside]]
-        key = mix(self._key(text, turn, 0)[of] + (place - self.word_first[text][of]).astype(np.uint64) * _U(0xD1B54A32D192ED03))
-        walk, edge = self.lat.walk(begin, key)
-        return of[walk], place[walk], edge
-
-    def _add(self, turn: int, text: np.ndarray, top: np.ndarray, of: np.ndarray, place: np.ndarray, edge: np.ndarray, own: np.ndarray, first_rest: np.ndarray | None) -> np.ndarray:
-        """Store the paths of a round and draw the best of each set they split off; the paths' log probabilities."""
-        lengths = np.bincount(of, minlength=len(text))
-        start = np.cumsum(lengths) - lengths
+        head = np.cumsum(n) - n
+        inside = np.flatnonzero((node >= 0) & (n > 0))
+        begin[head[inside]] = node[inside]
+        nth = place - np.repeat(self.word_first[text], n)
+        key = mix(np.repeat(self._key(text, turn, 0), n) + nth.astype(np.uint64) * _U(0xD1B54A32D192ED03))
+        walked, edge = self.lat.walk(begin, key)
+        ends = np.concatenate([[0], np.cumsum(walked)])
+        return ends[head + n] - ends[head], np.repeat(place, walked), edge
+
+    def _store(self, edge: np.ndarray, place: np.ndarray) -> int:
+        at, to = self.used, self.used + len(edge)
+        if to > len(self.edges):
+            room = max(to, self.rounds * len(edge) if not at else 2 * len(self.edges))
+            for name in ("edges", "place", "mass"):
+                held = getattr(self, name)
+                grown = np.zeros(room, held.dtype)
+                grown[:at] = held[:at]
+                setattr(self, name, grown)
+        self.edges[at:to], self.place[at:to] = edge, place
+        self.used = to
+        return at
+
+    def _sum(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The log probability of n steps from at. Summed by text: a running sum's rounding would depend on the batch."""
+        out, full = np.zeros(len(n)), np.flatnonzero(n > 0)
+        if len(full):
+            m = n[full]
+            out[full] = np.add.reduceat(self.lat.logp[self.edges[_spans(at[full], m)]], np.cumsum(m) - m)
+        return out
+
+    def _split(self, turn: int, text: np.ndarray, rest: np.ndarray | None) -> np.ndarray:
+        """Note the masses of the sets that the paths of a round split off; rest: relative, of those at the first own steps. Returns the paths' log probabilities."""
+        whole, start = self.size[turn, text] - self.own[turn, text], self.at[turn, text] + self.own[turn, text]
+        full = np.flatnonzero(whole > 0)
+        out = self.before[turn, text]
+        if not len(full):
+            return out
+        n = whole[full]
+        at = _spans(start[full], n)
+        edge = self.edges[at]
         logp = self.lat.logp[edge]
+        head = np.cumsum(n) - n
         run = np.cumsum(logp)
-        base = np.where(lengths > 0, (run - logp)[np.minimum(start, max(len(run) - 1, 0))], 0.0) if len(run) else np.zeros(len(text))
-        before = run - logp - np.repeat(base, lengths)
-        fresh = _spans(start + own, lengths - own)  # the rest belongs to the paths it came from
-        whose = of[fresh]
-        phi = before[fresh] + self.lat.rest[edge[fresh]]
-        if first_rest is not None:
-            phi[np.cumsum(lengths - own) - (lengths - own)] = before[start + own] + first_rest
-        noise = _gumbel(mix(self._key(text, turn, 1)[whose] + (fresh - start[whose]).astype(np.uint64) * _U(0xD1B54A32D192ED03)))
-        value = np.full(len(edge), -np.inf)
-        value[fresh] = np.where(np.isfinite(phi), -np.logaddexp(-top[whose], -(phi + noise)), -np.inf)
-        shift = len(self.edges)
-        self.edges = np.concatenate([self.edges, edge])
-        self.place = np.concatenate([self.place, place])
-        self.value = np.concatenate([self.value, value])
-        self.before = np.concatenate([self.before, before])
-        self.at[turn, text], self.size[turn, text], self.own[turn, text] = start + shift, lengths, own
-        self._find(np.full(len(text), turn), text)
-        total = np.zeros(len(text))
-        full = lengths > 0
-        if full.any():  # summed by text: a running sum's rounding would depend on the batch
-            total[full] = np.add.reduceat(logp, start[full])
-        return total
-
-    def _find(self, turn: np.ndarray, text: np.ndarray) -> None:
-        """Note the best set of paths."""
-        size, at = self.size[turn, text], self.at[turn, text]
-        full = size > 0
-        turn, text, size, at = turn[full], text[full], size[full], at[full]
+        before = (run - logp) + np.repeat(out[full] - (run - logp)[head], n)
+        others = self.lat.rest[edge]
+        if rest is not None:
+            others[head] = rest[full]
+        self.mass[at] = np.exp(before) * others
+        out[full] += np.add.reduceat(logp, head)  # by text: a running sum's rounding depends on the batch
+        return out
+
+    def _draw(self, turn: np.ndarray, text: np.ndarray) -> None:
+        """Draw the best of what is left of paths' sets."""
+        whole = self.size[turn, text] - self.own[turn, text]
+        self.best[turn, text] = -np.inf
+        full = np.flatnonzero(whole > 0)
+        turn, text, n = turn[full], text[full], whole[full]
         if not len(text):
             return
-        value = self.value[_spans(at, size)]
-        head = np.cumsum(size) - size
-        top = np.maximum.reduceat(value, head)
-        hit = np.flatnonzero(value == np.repeat(top, size))
-        of = np.searchsorted(head, hit, "right") - 1
-        firsts = np.unique(of, return_index=True)[1]
-        self.best[turn, text] = top
-        self.branch[turn, text] = hit[firsts] - head
+        mass = self.mass[_spans(self.at[turn, text] + self.own[turn, text], n)]
+        head = np.cumsum(n) - n
+        total = np.add.reduceat(mass, head)
+        ok = np.flatnonzero(total > 0)
+        turn, text = turn[ok], text[ok]
+        key = mix(self._key(text, turn, 1) + self.taken[turn, text].astype(np.uint64) * _U(0xD1B54A32D192ED03))
+        self.best[turn, text] = -np.logaddexp(-self.top[turn, text], -(np.log(total[ok]) + _gumbel(key)))
+        # the set that holds it
+        run = np.cumsum(mass)
+        goal = (run - mass)[head[ok]] + _unit(key + _STEP) * total[ok]
+        step = np.clip(np.searchsorted(run, goal, "right") - head[ok], 0, n[ok] - 1)
+        for k in np.flatnonzero(mass[head[ok] + step] == 0).tolist():  # rounding met a set without mass: take the greatest
+            step[k] = int(np.argmax(mass[head[ok[k]] : head[ok[k]] + n[ok[k]]]))
+        self.branch[turn, text] = step + self.own[turn, text]
 
     def run(self) -> list[Samples]:
         n, lat = len(self.counts), self.lat
-        everyone = np.arange(n)
-        top = _gumbel(self._key(everyone, 0, 2))
-        of, place, edge = self._suffix(everyone, 0, self.word_first.copy(), np.full(n, -1))
-        log_prob = self._add(0, everyone, top, of, place, edge, np.zeros(n, np.int64), None)
-        found = [(everyone, log_prob)]
+        text = np.arange(n)
+        lengths, place, edge = self._suffix(text, 0, self.word_first.copy(), np.full(n, -1))
+        self.at[0], self.size[0] = np.cumsum(lengths) - lengths + self._store(edge, place), lengths
+        self.top[0] = _gumbel(self._key(text, 0, 2))
+        found = [(text, self._split(0, text, None))]
+        self._draw(np.zeros(n, np.int64), text)
         for turn in range(1, self.rounds):
             path = self.best[:turn].argmax(0)
-            top = self.best[path, everyone]
+            top = self.best[path, np.arange(n)]
             text = np.flatnonzero(np.isfinite(top))
             if not len(text):
                 break
             path, top = path[text], top[text]
             nth = self.branch[path, text]
-            spot = self.at[path, text] + nth
-            old, word = self.edges[spot], self.place[spot]
+            from_, own = self.at[path, text], self.own[path, text]
+            old, word = self.edges[from_ + nth].astype(np.int64), self.place[from_ + nth].astype(np.int64)
             avoid = np.full((len(text), self.rounds), -1, np.int64)
             avoid[:, 0] = old
-            first = (path > 0) & (nth == self.own[path, text])
+            first = (path > 0) & (nth == own)
             avoid[first] = self.avoid[path[first], text[first]]
             # the edge that leaves the prefix: the greatest perturbed log probability of those not avoided
             node = lat.start[old]
@@ -363,26 +461,36 @@ class Search:
             options = _spans(lat.begin[node], degree)
             of = np.repeat(np.arange(len(text)), degree)
             barred = (options[:, None] == avoid[of]).any(1)
-            score = np.where(barred, -np.inf, lat.logp[options] + _gumbel(mix(self._key(text, turn, 3)[of] + (options - lat.begin[node][of]).astype(np.uint64) * _U(0xD1B54A32D192ED03))))
+            noise = _gumbel(mix(self._key(text, turn, 3)[of] + (options - lat.begin[node][of]).astype(np.uint64) * _U(0xD1B54A32D192ED03)))
+            score = np.where(barred, -np.inf, lat.logp[options] + noise)
             head = np.cumsum(degree) - degree
             most = np.maximum.reduceat(score, head)
             hit = np.flatnonzero((score == most[of]) & ~barred)
             new = options[hit[np.unique(of[hit], return_index=True)[1]]]
             left = np.where(barred | (options == new[of]), 0.0, np.exp(lat.logp[options]))
-            with np.errstate(divide="ignore"):
-                first_rest = np.log(np.add.reduceat(left, head))
-            slot = (avoid >= 0).sum(1)
-            avoid[np.arange(len(text)), np.minimum(slot, self.rounds - 1)] = new
-            # the prefix, the new edge, and a fresh suffix
-            before = _spans(self.at[path, text], nth)
-            s_of, s_place, s_edge = self._suffix(text, turn, word, lat.stop[new])
-            who = np.concatenate([np.repeat(np.arange(len(text)), nth), np.arange(len(text)), s_of])
-            order = np.argsort(who, kind="stable")
-            self.value[spot] = -np.inf
-            self._find(path, text)
-            total = self._add(turn, text, top, who[order], np.concatenate([self.place[before], word, s_place])[order], np.concatenate([self.edges[before], new, s_edge])[order], nth, first_rest)
+            rest = np.add.reduceat(left, head)
+            avoid[np.arange(len(text)), np.minimum((avoid >= 0).sum(1), self.rounds - 1)] = new
             self.avoid[turn, text] = avoid
-            found.append((text, total))
+            # the set is taken off its path
+            self.before[turn, text] = self.before[path, text] + self._sum(from_ + own, nth - own)
+            self.mass[from_ + nth] = 0.0
+            self.taken[path, text] += 1
+            self.top[path, text] = top
+            self._draw(path, text)
+            # the prefix, the new edge, and a fresh suffix
+            n_after, s_place, s_edge = self._suffix(text, turn, word, lat.stop[new].astype(np.int64))
+            lengths = nth + 1 + n_after
+            base = np.cumsum(lengths) - lengths
+            edge, place = np.zeros(int(lengths.sum()), np.int32), np.zeros(int(lengths.sum()), np.int32)
+            to, prefix = _spans(base, nth), _spans(from_, nth)
+            edge[to], place[to] = self.edges[prefix], self.place[prefix]
+            edge[base + nth], place[base + nth] = new, word
+            to = _spans(base + nth + 1, n_after)
+            edge[to], place[to] = s_edge, s_place
+            at = base + self._store(edge, place)
+            self.at[turn, text], self.size[turn, text], self.own[turn, text], self.top[turn, text] = at, lengths, nth, top
+            found.append((text, self._split(turn, text, rest)))
+            self._draw(np.full(len(text), turn), text)
         kappa = self.best.max(0)
         out = []
         for turn, (text, log_prob) in enumerate(found):
@@ -394,11 +502,16 @@ class Search:
 
 
 class _Numbers(dict):
-    """Numbers keys as they come."""
+    """Numbers words as they come; new: those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
 
 
 def row_keys(doc_ids: pa.Array, seed: int) -> np.ndarray:
@@ -407,26 +520,48 @@ def row_keys(doc_ids: pa.Array, seed: int) -> np.ndarray:
     return mix(ids * _STEP + _U(2 * seed + 1) + null.astype(np.uint64) * _U(0xA0761D6478BD642F))
 
 
-def sampled(texts: list[str | None], keys: np.ndarray, vocabulary: Vocabulary, cfg: SegmentationConfig) -> Iterator[tuple[int, Samples, np.ndarray, np.ndarray]]:
-    """(rank, samples, ids, ids of each text) of a batch."""
-    index = _Numbers()
-    words: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        found = vocabulary.words.findall(normalise(text))
-        counts[k] = len(found)
-        words += map(index.__getitem__, found)
-    lattice = Lattice(list(index), vocabulary, cfg)
-    n_ids = np.ones(len(lattice.piece), np.int64)
-    raw = [chr(c).encode("utf-8", "surrogatepass") for c in lattice.point[lattice.start[lattice.piece < 0]]]
-    n_ids[lattice.piece < 0] = [len(b) for b in raw]
-    flat = np.repeat(lattice.piece, n_ids)
-    flat[flat < 0] = vocabulary.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-    at = np.cumsum(n_ids) - n_ids
-    for rank, s in enumerate(Search(lattice, np.array(words, np.int64), counts, keys, cfg.samples).run(), 1):
-        ids = flat[_spans(at[s.edges], n_ids[s.edges])]
-        n = np.bincount(np.repeat(np.arange(len(s.text)), s.lengths), weights=n_ids[s.edges], minlength=len(s.text)).astype(np.int64)
-        yield rank, s, ids, n
+class Sampler:
+    """Samples of batches of texts. The lattices of the words met first are kept, up to a limit; others are made for each batch."""
+
+    def __init__(self, vocabulary: Vocabulary, cfg: SegmentationConfig):
+        self.vocabulary, self.cfg = vocabulary, cfg
+        self.lattice, self.numbers = Lattice(vocabulary, cfg), _Numbers()
+        self.kept = (0, 0, 0)
+
+    def _words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts in turn, as numbers of the lattice, and how many each has."""
+        lattice, numbers = self.lattice, self.numbers
+        for word in numbers.new:  # of the batch before, and not kept
+            del numbers[word]
+        numbers.new = []
+        words: list[int] = []
+        counts = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            found = self.vocabulary.words.findall(normalise(text))
+            counts[k] = len(found)
+            words += map(numbers.__getitem__, found)
+        lattice.size = self.kept
+        lattice.add(numbers.new)
+        if lattice.size[2] <= self.cfg.kept_edges:
+            self.kept, numbers.new = lattice.size, []
+        return np.array(words, np.int64), counts
+
+    def samples(self, texts: list[str | None], keys: np.ndarray) -> Iterator[tuple[int, Samples, np.ndarray, np.ndarray]]:
+        """(rank, samples, ids, ids of each text), the most likely rank first."""
+        words, counts = self._words(texts)
+        lattice = self.lattice
+        for rank, s in enumerate(Search(lattice, words, counts, keys, self.cfg.samples).run(), 1):
+            ids, n = lattice.piece[s.edges], s.lengths
+            unknown = np.flatnonzero(ids < 0)
+            if len(unknown):  # their UTF-8 byte pieces
+                raw = [chr(c).encode("utf-8", "surrogatepass") for c in lattice.point[lattice.start[s.edges[unknown]]].tolist()]
+                width = np.ones(len(ids), np.int64)
+                width[unknown] = [len(r) for r in raw]
+                of = np.repeat(np.arange(len(s.text)), s.lengths)
+                n = np.bincount(of, weights=width, minlength=len(s.text)).astype(np.int64)
+                ids = np.repeat(ids, width)
+                ids[ids < 0] = self.vocabulary.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
+            yield rank, s, ids, n
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -461,11 +596,12 @@ def _each(docs: DataFrame, model: str, cfg: SegmentationConfig, column: str, mak
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
+        sampler = Sampler(v, cfg)
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), row_keys(batch.column(0), cfg.seed)
             for lo, hi in _runs(texts, cfg.batch_chars):
                 own = batch.column(0).slice(lo, hi - lo)
-                for rank, s, ids, n in sampled(texts[lo:hi], keys[lo:hi], v, cfg):
+                for rank, s, ids, n in sampler.samples(texts[lo:hi], keys[lo:hi]):
                     more = make([texts[lo + k] for k in s.text], ids, n, v)
                     yield pa.RecordBatch.from_arrays([own.take(pa.array(s.text)), pa.array(np.full(len(s.text), rank, np.int32)), *more, pa.array(s.log_prob), pa.array(s.inclusion)], names)
 
@@ -500,15 +636,10 @@ def segmentation_digests(docs: DataFrame, model: str = "piece_bpe_32k.model", cf
     """As sample_segmentations, with digests in place of the ids: n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip (the ids decode to the whole text)."""
 
     def make(texts: list, ids: np.ndarray, n: np.ndarray, v: Vocabulary) -> list[pa.Array]:
-        end = np.cumsum(n).tolist()
+        end = (4 * np.cumsum(n)).tolist()
         raw = ids.astype("<u4").tobytes()
-        surface = list(map(v.surface.__getitem__, ids.tolist()))
-        crc, same, at = [], [], 0
-        for text, to in zip(texts, end):
-            crc.append(zlib.crc32(raw[4 * at : 4 * to]))
-            same.append(b"".join(surface[at:to]) == normalise(text).encode("utf-8", "surrogatepass"))
-            at = to
-        return [pa.array(n), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+        crc = [zlib.crc32(raw[i:j]) for i, j in zip([0, *end], end)]
+        return [pa.array(n), pa.array(crc, pa.int64()), pa.array(v.spells(ids, n, texts))]
 
     return _each(docs, model, cfg, "n_tokens long, ids_crc32 long, round_trip boolean,", make)
 

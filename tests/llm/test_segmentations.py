@@ -49,7 +49,7 @@ def every(text, v, cfg=CFG):
 def run(texts, v, cfg=CFG, keys=None):
     keys = S.row_keys(pa.array(range(len(texts)), pa.int64()), cfg.seed) if keys is None else keys
     out = [[] for _ in texts]
-    for rank, s, ids, n in S.sampled(texts, keys, v, cfg):
+    for rank, s, ids, n in S.Sampler(v, cfg).samples(texts, keys):
         end = np.cumsum(n)
         for k, t in enumerate(s.text):
             out[t].append((tuple(ids[end[k] - n[k] : end[k]].tolist()), s.log_prob[k], s.inclusion[k]))
