@@ -16,6 +16,7 @@ from iterix.llm.quality_rules import op1_quality_rules
 from iterix.llm.segmentations import op4_segmentations
 from iterix.llm.token_counts import op6_token_counts
 from iterix.llm.token_files import op7_token_files
+from iterix.llm.vector_dup import SQL as VECTOR_DUP_SQL
 from iterix.llm.vector_dup import op9_vector_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES_SQL}
+SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES_SQL, "op9_vector_dup": VECTOR_DUP_SQL}
