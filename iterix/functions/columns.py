@@ -7,6 +7,7 @@ aggregates skip NULL); every difference is settled here and nowhere else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, WindowSpec
@@ -99,30 +100,38 @@ def branch(test: Value, yes: Value, no: Value) -> Value:
 _SCALE = 2.0**64
 
 
-def aggregate(fn: str, v: Value | None, na_rm: bool, present: Column | None = None, frame: WindowSpec | None = None) -> Value:
-    """An aggregate over the rows of an iteration, or of a window frame. present: false on rows that stand for an empty one."""
+Measure = Callable[[str, Column], Column]
 
-    def over(c: Column) -> Column:
-        return c if frame is None else c.over(frame)
 
-    n = over(F.count(F.lit(1)) if present is None else F.count(F.when(present, F.lit(1))))
+def measured(kind: str, c: Column) -> Column:
+    """The three aggregates that all others are made of: count, sum, max."""
+    return {"count": F.count, "sum": F.sum, "max": F.max}[kind](c)
+
+
+def over(frame: WindowSpec) -> Measure:
+    return lambda kind, c: measured(kind, c).over(frame)
+
+
+def aggregate(fn: str, v: Value | None, na_rm: bool, present: Column | None = None, measure: Measure = measured) -> Value:
+    """An aggregate over what measure measures: the rows of an iteration, or of a frame. present: false on rows that stand for an empty one."""
+    n = measure("count", F.lit(1) if present is None else F.when(present, F.lit(1)))
     if fn == "length":
         return Value(n.cast("double"), nan=False)
     x = truth(v) if fn in ("all", "any") else known(Value(number(v), nan=v.nan and not v.logical)) if na_rm else number(v)
     if present is not None:
         x = F.when(present, x)
-    there = over(F.count(x))
+    there = measure("count", x)
     if fn in ("all", "any"):
-        decides = F.coalesce(over(F.max(~x if fn == "all" else x)), F.lit(False))
+        decides = F.coalesce(measure("max", ~x if fn == "all" else x), F.lit(False))
         out = F.when(decides, F.lit(fn == "any"))
         if not na_rm:
             out = out.when(there < n, F.lit(None).cast("boolean"))
         return Value(out.otherwise(F.lit(fn == "all")), logical=True, nan=False)
-    total = F.coalesce(over(F.sum(x)), F.lit(0.0))
+    total = F.coalesce(measure("sum", x), F.lit(0.0))
     if fn == "mean":
         # a sum beyond the largest double can still have a mean
         large = (F.abs(total) == float("inf")) & (there > 0)
-        out = F.when(there == 0, F.lit(NAN)).otherwise(F.when(large, over(F.sum(x / _SCALE)) / there * _SCALE).otherwise(total / there))
+        out = F.when(there == 0, F.lit(NAN)).otherwise(F.when(large, measure("sum", x / _SCALE) / there * _SCALE).otherwise(total / there))
     elif fn == "mean1":
         out = F.when(there == 0, F.lit(NAN)).otherwise(total / there)
     else:

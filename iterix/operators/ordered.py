@@ -48,12 +48,9 @@ def _sorted(df: DataFrame, order: list[str]) -> Window:
     return Window.partitionBy("_range").orderBy(*[F.col(o).asc_nulls_last() for o in order], *[F.col(f"`{c}`") for c in rest])
 
 
-def _base(df: DataFrame, by_range: dict[int, int]) -> Column:
+def _base(by_range: dict[int, int]) -> Column:
     """A column with the value of each row's range."""
-    if not by_range:
-        return F.lit(0)
-    pairs = [x for k, v in sorted(by_range.items()) for x in (F.lit(k), F.lit(v))]
-    return F.coalesce(F.create_map(*pairs)[F.col("_range")], F.lit(0))
+    return F.get(F.array(*[F.lit(by_range.get(k, 0)).cast("bigint") for k in range(max(by_range, default=0) + 1)]), F.col("_range"))
 
 
 def indexed(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
@@ -64,7 +61,7 @@ def indexed(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     bases, total = {}, 0
     for k in sorted(counts):
         bases[k], total = total, total + counts[k]
-    numbered = df.withColumn("_idx", (F.row_number().over(_sorted(df, order)) + _base(df, bases)).cast("bigint"))
+    numbered = df.withColumn("_idx", (F.row_number().over(_sorted(df, order)) + _base(bases)).cast("bigint"))
     return numbered.select(*[F.col(f"`{c}`") for c in columns], "_idx"), total
 
 
@@ -83,4 +80,4 @@ def run_ids(df: DataFrame, key: str, order: list[str]) -> DataFrame:
             run += 1
         bases[r["_range"]], last = run, r["last"]["k"]
         run += r["steps"]
-    return df.withColumn("run", (F.col("_steps") + _base(df, bases)).cast("bigint")).select(*[F.col(f"`{c}`") for c in columns], "run")
+    return df.withColumn("run", (F.col("_steps") + _base(bases)).cast("bigint")).select(*[F.col(f"`{c}`") for c in columns], "run")

@@ -6,7 +6,9 @@ frames, over ranges of rows that each carry a margin from their neighbours, so t
 task holds all rows. All others are a range join: positions are cut into cells of
 about a window's width, a window meets the cells that it reaches, and the cell is the
 join's key; the statistic is then a grouping by window, with partial sums before the
-exchange. Empty windows stay: the function runs on vectors of no elements.
+exchange. Windows at regular steps whose width is a multiple of the step need no join:
+rows are summed up by step once, and windows add up steps. Empty windows stay: the
+function runs on vectors of no elements.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from iterix.functions import columns as C
 from iterix.operators.groups import _list
 from iterix.operators.lowering import Data, bound, is_single, lower
 from iterix.operators.ordered import indexed, position, ranges
@@ -114,24 +117,88 @@ def rolli_exec(
         _, kinds = rows.source_columns(df, b)
         # beyond the ends there is nothing, so wider frames need not be asked for
         low, high = max(lo, -total), min(lo + n - 1, total)
-        if low <= high and rows.over_frame(b, kinds, Window.orderBy("_idx").rowsBetween(low, high)) is not None:
-            return _framed(b, df, low, high, total, order, anchor, iteration, None if partial else clipped, name)
+        if low <= high and rows.measured_by(b, kinds, C.measured) is not None:
+            runner = _running if n >= _WIDE and low == lo and high == lo + n - 1 else _framed
+            return runner(b, df, low, high, total, order, anchor, iteration, None if partial else clipped, name)
     keyed = df.where(anchor).select(iteration, *order, (start.cast("double")).alias("_left"), (end.cast("double")).alias("_right"), clipped.alias("_clipped"))
     points = df.withColumn("_pos", F.col("_idx").cast("double")).drop(*order, "_n")
     found = window_values(b, points, keyed, ["iter", *order, "_clipped"], "[]", name, ["_pos"], lowering)
     return found.select("iter", *order, (F.col(name) if partial else F.when(~F.col("_clipped"), F.col(name))).alias(name))
 
 
-def _framed(b: Bound, df: DataFrame, low: int, high: int, total: int, order: list[str], anchor: Column, iteration: Column, clipped: Column | None, name: str) -> DataFrame:
-    """Frames over blocks of rows; a row goes to its own block and to those whose windows reach it."""
+#: From so many rows on, a window is put together from running sums rather than gone through.
+_WIDE = 64
+
+
+def _running(b: Bound, df: DataFrame, low: int, high: int, total: int, order: list[str], anchor: Column, iteration: Column, clipped: Column | None, name: str) -> DataFrame:
+    """Wide frames in a number of steps that does not depend on their width.
+
+    Rows are cut into pieces as long as a window. A window is then the end of one piece
+    and the start of the next: running aggregates from both ends of each piece hold
+    them, and nothing is ever subtracted.
+    """
     df, kinds = rows.source_columns(df, b)
+    n = high - low + 1
+    df = df.select("_idx", *order, *[rows.slot(p) for p in kinds]).withColumn("_piece", F.floor((F.col("_idx") - 1) / n))
+    up = Window.partitionBy("_piece").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_piece").orderBy(F.col("_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    parts: list[tuple[str, Column]] = []
+
+    def place(kind: str, c: Column) -> str:
+        k = next((k for k, (of, d) in enumerate(parts) if of == kind and str(d) == str(c)), len(parts))
+        if k == len(parts):
+            parts.append((kind, c))
+        return str(k)
+
+    first, last = F.greatest(F.col("_idx") + low, F.lit(1)), F.least(F.col("_idx") + high, F.lit(total))
+    piece = lambda c: F.floor((c - 1) / n)
+    none = first > last
+    ends = ~none & (F.col("_idx") + low >= 1)  # from its first row to its piece's end
+    starts = ~none & ((F.col("_idx") + low < 1) | (piece(last) > piece(first)))  # from its last piece's start to its last row
+
+    def measure(kind: str, c: Column) -> Column:
+        k = place(kind, c)
+        a, z = F.when(ends, F.col(f"_z{k}")), F.when(starts, F.col(f"_a{k}"))
+        if kind == "max":
+            return F.greatest(a, z)
+        both = F.coalesce(a, F.lit(0)) + F.coalesce(z, F.lit(0))
+        return both if kind == "count" else F.when(a.isNotNull() | z.isNotNull(), both)
+
+    value = rows.measured_by(b, kinds, measure)
+    made = {f"_u{k}": C.measured(kind, c).over(up) for k, (kind, c) in enumerate(parts)} | {f"_d{k}": C.measured(kind, c).over(down) for k, (kind, c) in enumerate(parts)}
+    df = df.withColumns(made)
+    # running values from the window's first and last rows: they are at fixed distances, in blocks with margins
+    spread, of = _blocks(df, low, high, total, [*order, *made])
+    w = Window.partitionBy("_block").orderBy("_idx")
+    at_first, at_last = {}, {}
+    for k in range(len(parts)):
+        # where the window is cut off, its first row is row 1, which no running value is needed of, or its last is the last row
+        at_first[f"_z{k}"] = _at(F.col(f"_d{k}"), low, w)
+        at_last[f"_a{k}"] = F.coalesce(_at(F.struct(F.col(f"_u{k}").alias("v")), high, w), F.last(F.struct(F.col(f"_u{k}").alias("v"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))["v"]
+    out = spread.withColumns(at_first | at_last).withColumn(name, value).where(F.col("_own") == F.col("_block")).where(anchor)
+    result = F.col(name) if clipped is None else F.when(~clipped, F.col(name))
+    return out.select(iteration, *order, result.alias(name))
+
+
+def _at(c: Column, distance: int, w: Window) -> Column:
+    return F.lead(c, distance).over(w) if distance >= 0 else F.lag(c, -distance).over(w)
+
+
+def _blocks(df: DataFrame, low: int, high: int, total: int, kept: list[str]) -> tuple[DataFrame, object]:
+    """Rows in blocks, each with the rows that its windows reach; _own is a row's own block."""
+    low, high = min(low, 0), max(high, 0)  # with all rows between, as distances are counted in rows
     block = max(high - low + 1, -(-max(total, 1) // ranges(df)), 1024)
     of = lambda c: F.floor((F.least(F.greatest(c, F.lit(1)), F.lit(max(total, 1))) - 1) / block).cast("bigint")
-    own = of(F.col("_idx"))
-    reaches = F.array_union(F.sequence(of(F.col("_idx") - high), of(F.col("_idx") - low)), F.array(own))
-    spread = df.select("_idx", *order, *[rows.slot(p) for p in kinds], own.alias("_own"), F.explode(reaches).alias("_block"))
+    reaches = F.sequence(of(F.col("_idx") - high), of(F.col("_idx") - low))
+    return df.select("_idx", *kept, of(F.col("_idx")).alias("_own"), F.explode(reaches).alias("_block")), of
+
+
+def _framed(b: Bound, df: DataFrame, low: int, high: int, total: int, order: list[str], anchor: Column, iteration: Column, clipped: Column | None, name: str) -> DataFrame:
+    """Frames over blocks of rows; a row goes to its own block and to those whose windows reach it."""
+    df, kinds = rows.source_columns(df, b)
+    spread, _ = _blocks(df, low, high, total, [*order, *[rows.slot(p) for p in kinds]])
     frame = Window.partitionBy("_block").orderBy("_idx").rowsBetween(low, high)
-    value = rows.over_frame(b, kinds, frame)
+    value = rows.measured_by(b, kinds, C.over(frame))
     out = spread.withColumn(name, value).where(F.col("_own") == F.col("_block")).where(anchor)
     result = F.col(name) if clipped is None else F.when(~clipped, F.col(name))
     return out.select(iteration, *order, result.alias(name))
@@ -173,9 +240,49 @@ def rollby_exec(
     k = F.col("id").cast("double")
     left = F.lit(float(start) + float(offset)) + F.lit(float(by)) * k
     windows = spark.range(count).select((F.col("id") + 1).alias("iter"), left.alias("left"), (left + F.lit(float(width))).alias("right"))
+    base = float(start) + float(offset)
+    panes = _panes(base, float(by), float(width), bounds, count)
+    if panes and lowering != "arrays" and rows.is_rowwise(b):
+        slots, kinds = rows.source_columns(df, b)
+        if rows.measured_by(b, kinds, C.measured) is not None:
+            return _paned(b, slots, kinds, base, float(by), panes, count, windows, name)
     return _valued(b, df, windows, bounds, name, lowering)
 
 
+def _panes(base: float, by: float, width: float, bounds: str, count: int) -> int:
+    """How many panes, each as wide as the step, make up a window; 0 if edges would not fall on panes' edges exactly."""
+    whole = all(x == math.floor(x) for x in (base, by, width)) and max(abs(base), abs(base + by * count) + width) < 2**53
+    return int(width // by) if whole and bounds == "[)" and width % by == 0 else 0
+
+
+def _paned(b: Bound, df: DataFrame, kinds: dict[str, str], base: float, by: float, panes: int, count: int, windows: DataFrame, name: str) -> DataFrame:
+    """Each row goes into one pane; panes are measured once, and windows put their panes together."""
+    pane = F.floor((F.col("_pos") - F.lit(base)) / F.lit(by))
+    low = F.lit(base) + F.lit(by) * pane  # rounding may put a row next to its pane
+    pane = F.when(F.col("_pos") < low, pane - 1).when(F.col("_pos") >= low + F.lit(by), pane + 1).otherwise(pane).cast("bigint")
+    block = max(panes, -(-max(count, 1) // ranges(df)), 1024)
+    frame = Window.partitionBy("_block").orderBy("_pane").rangeBetween(0, panes - 1)
+    parts: dict[str, tuple[str, Column]] = {}
+
+    def measure(kind: str, c: Column) -> Column:
+        part = next((k for k, (of, d) in parts.items() if of == kind and str(d) == str(c)), f"_m{len(parts)}")
+        parts[part] = (kind, c)
+        if kind == "max":
+            return F.max(part).over(frame)
+        total = F.sum(part).over(frame)
+        return F.coalesce(total, F.lit(0)) if kind == "count" else total
+
+    value = rows.measured_by(b, kinds, measure)
+    measures = [C.measured(kind, c).alias(k) for k, (kind, c) in parts.items()]
+    found = df.withColumn("_pane", pane).where((F.col("_pane") >= 0) & (F.col("_pane") < count + panes)).groupBy("_pane").agg(*measures)
+    of = lambda c: F.floor(c / block).cast("bigint")
+    reached = F.sequence(of(F.greatest(F.col("_pane") - (panes - 1), F.lit(0))), of(F.col("_pane")))
+    spread = found.withColumn("_block", F.explode(reached))
+    anchors = windows.withColumn("_pane", F.col("iter") - 1).withColumn("_block", of(F.col("iter") - 1))
+    both = anchors.unionByName(spread, allowMissingColumns=True)
+    return both.withColumn(name, value).where(F.col("iter").isNotNull()).select("iter", "left", "right", name)
+
+
 def _valued(b: Bound, df: DataFrame, windows: DataFrame, bounds: str, name: str, lowering: str) -> DataFrame:
     windows = windows.select("iter", "left", "right", F.col("left").alias("_left"), F.col("right").alias("_right"))
     return window_values(b, df, windows, ["iter", "left", "right"], bounds, name, ["_pos"], lowering)

@@ -272,7 +272,10 @@ class Arrays:
             return F.when(_missing(k) | (k >= n + 1) | (k < 1), _fail("an index to assign to is missing, not positive or beyond the end")).otherwise(F.floor(k) - 1)
 
         if not s.array and not y.array:
-            return F.transform(v, lambda e, k: F.when(k == checked(s.col), y.col).otherwise(e)), True, x.length
+            k = F.floor(s.col).cast("int")
+            bad = _missing(s.col) | (s.col >= n + 1) | (s.col < 1)
+            new = F.concat(F.slice(v, F.lit(1), k - 1), F.array(y.col), F.slice(v, k + 1, n)).cast(_EMPTY)
+            return F.when(bad, _fail("an index to assign to is missing, not positive or beyond the end", _EMPTY)).otherwise(new), True, x.length
         at, new = F.transform(as_array(s), checked), as_array(y)
 
         def step(state: Column, k: Column) -> Column:

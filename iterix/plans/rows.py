@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from iterix.functions import columns as C
@@ -286,8 +286,8 @@ def _aggregate(t: Term, columns: dict[Term, C.Value], present: Column | None, or
     return C.aggregate(t.fn, v, bool(t.of), present)
 
 
-def over_frame(bound: Bound, kinds: dict[str, str], frame: WindowSpec) -> Column | None:
-    """The statistic over a window frame, or None if it has aggregates of aggregates."""
+def measured_by(bound: Bound, kinds: dict[str, str], measure: C.Measure) -> Column | None:
+    """The statistic of what measure measures, or None if it isn't one value of plain aggregates."""
     root = Terms(bound, kinds).value(bound.tree)
     inner: dict[Term, None] = {}
     outer: dict[Term, None] = {}
@@ -298,7 +298,7 @@ def over_frame(bound: Bound, kinds: dict[str, str], frame: WindowSpec) -> Column
     final: dict[Term, C.Value] = {}
     for t in outer:
         v = column(t.args[0], dict(rows), [], []) if t.args else None
-        final[t] = C.aggregate(t.fn, v, bool(t.of), frame=frame)
+        final[t] = C.aggregate(t.fn, v, bool(t.of), measure=measure)
     v = column(root, final, [], [])
     return C.typed(v.col, root.kind, v.logical)
 

@@ -316,3 +316,28 @@ def test_plans(df):
     assert "NestedLoop" not in p and "Cartesian" not in p and "partial_sum" in p
     p = plan(rolli_exec(SUM, df, ["x"], 10, order="k"))
     assert "SinglePartition" not in p and "Python" not in p
+
+
+@pytest.mark.parametrize("source", ["sum(x)", "mean(x)", "mean(x, na.rm = TRUE)", "sum(x, na.rm = TRUE) + length(x)", "any(x > 0.9)", "all(x > 0.1, na.rm = TRUE)", "sum(x * x) - sum(x) / 2"])
+def test_windows_made_of_steps(spark, source):
+    """Windows that are several steps wide add up steps; they equal those that gather their rows."""
+    g = random.Random(11)
+    rows = [(g.choice([k, k + 0.5, k + 100 * (k > 60)]) * 1.0, None if g.random() < 0.05 else g.random()) for k in range(120)]
+    df = spark.createDataFrame(rows, "p double, x double").repartition(4)
+    for given in (dict(width=12, by=3, start=0), dict(width=4, by=4, offset=-8, start=0), dict(width=30, by=2, start=-50, end=400), dict(width=0, by=2, start=1)):
+        plans = [rollby_exec(stat(source), df, ["x"], position="p", lowering=how, **given) for how in ("auto", "arrays")]
+        assert given["width"] == 0 or "Join" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+        assert same(*map(values, plans)), given
+
+
+@pytest.mark.parametrize("source", ["sum(x)", "mean(x)", "length(x) + sum(x, na.rm = TRUE)", "any(x > 0.99)", "all(x > 0.01, na.rm = TRUE)"])
+def test_wide_windows_of_rows(spark, source):
+    """Windows put together from running sums equal those that are gone through."""
+    g = random.Random(12)
+    x = [None if g.random() < 0.002 else g.random() for _ in range(700)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double").repartition(4)
+    s = stat(source)
+    for n, align, partial in ((64, "center", True), (100, "left", False), (200, "right", True), (699, "center", True), (70, 30, True), (80, -200, True)):
+        first = align if isinstance(align, int) else {"left": 0, "center": int((1 - n) / 2), "right": 1 - n}[align]
+        want = [s(x[max(k + first, 0) : max(k + first + n, 0)])[0] if partial or 0 <= k + first <= 700 - n else None for k in range(700)]
+        assert same(values(rolli_exec(s, df, "x", n, align=align, partial=partial, order="k")), want), (n, align)
