@@ -5,9 +5,10 @@ with a weight for each tag name learnt from labelled pages: pages that mark thei
 article themselves (`article` or `main`), where a tag weighs the more the more often it
 stands outside. Words within elements that name themselves as something else (`nav`,
 `footer`, `aside`, forms, or a class, id or role such as `ad`, `sidebar`, `comments`,
-`cookie-notice`), or outside an article that the page marks, score negative. One linear
-scan finds the contiguous region of the highest sum; its text, less such elements,
-is the result.
+`cookie-notice`), or outside an article that the page marks, score negative. Within a
+marked article nothing does: its tags and such elements in it score 0, so no part of the
+article is lost to them. One linear scan finds the contiguous region of the highest sum;
+its text, less such elements, is the result.
 
 Character references are decoded once, white space in a block becomes one space, blocks
 are trimmed and joined in page order by a blank line. Nothing else is dropped or cut.
@@ -140,7 +141,9 @@ class HtmlModel:
         best = run = 0.0
         first, lo, hi = 0, 0, 0
         for k, x in enumerate(found):
-            if x.tag:
+            if x.main and (x.tag or x.aside):
+                pass  # a marked article is whole
+            elif x.tag:
                 run += self.tags.get((x.tag, x.aside), cfg.unseen_tag) if x.tag not in _MAIN else cfg.least
             else:
                 content = not x.aside and (x.main or not marked)

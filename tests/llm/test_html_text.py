@@ -20,6 +20,25 @@ def test_article_without_the_rest(main):
     assert model.extract(PAGE.format(main=main)) == TEXT
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        '<div class="ad">buy one of these ten very fine things today now</div>',
+        "<form><label>Your name</label><input><select><option>one<option>two</select><button>Send it to us</button></form>",
+        '<ul class="related">' + "<li><a href='/x'>another article to read here</a></li>" * 30 + "</ul>",
+        '<div role="complementary" class="notice">' + "<section><p>a notice</p></section>" * 20 + "</div>",
+        "<figure></figure><hr><section><dl></dl></section>" * 20,
+    ],
+)
+@pytest.mark.parametrize("main", ["article", "main"])
+def test_marked_article_is_whole(main, inner):
+    model = H.fit_pages([PAGE.format(main="article")] * 20)
+    long, short = " ".join(["word"] * 40), "five words at the end"
+    page = "<body><nav>Home</nav>%s<p>not in it</p><footer>All rights</footer></body>" % f"<{main}>%s{inner}%s</{main}>"
+    assert model.extract(page % (f"<h1>Title</h1><p>{long}</p>", f"<p>{short}</p>")) == f"Title\n\n{long}\n\n{short}"
+    assert model.extract(page % (f"<h1>Title</h1><p>{short}</p>", f"<p>{long}</p>")) == f"Title\n\n{short}\n\n{long}"
+
+
 def test_region_is_the_best_of_all_contiguous_ones():
     import random
 
