@@ -8,7 +8,10 @@ that loses more than `depleted_percent` of its words is rejected. The limit is t
 greater of `min_docs` and `host_permille` of the host's documents, so it behaves alike at
 every size.
 
-Plan: texts are never shuffled. Lines travel as (host hash, line hash, document)
+`cleaned` gives each row's text less its removed lines and their places; the query's
+columns are taken from it.
+
+Plan: texts are not shuffled, unless the cleaned ones are asked for. Lines travel as (host hash, line hash, document)
 integers; counting distinct documents deduplicates by (line, document) first, so a line
 that a third of all documents share is spread over all tasks and summed from partial
 counts; the join back is an ordinary equi-join, which adaptive execution broadcasts
@@ -16,7 +19,7 @@ if small and splits if skewed.
 
 Defined cases: a null text has no word; a null host is a host of its own; a null
 doc_id counts for no line; rows that repeat a doc_id count as one document in line
-frequencies and are judged each by its own text; other columns are ignored.
+frequencies and are judged each by its own text and host; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +51,10 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def _host() -> Column:
+    return F.when(F.col("source").isNull(), F.lit(0)).otherwise(F.xxhash64("source")).cast("bigint")
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to docs (doc_id, text, ...)."""
     text = F.coalesce("text", F.lit(""))
@@ -81,33 +88,48 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, host, pos, line, line_words of every line with a word; host and line are hashes."""
-    host = F.when(F.col("source").isNull(), F.lit(0)).otherwise(F.xxhash64("source"))
-    exploded = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), host.cast("bigint").alias("host"), F.posexplode(F.split("text", "\n")).alias("pos", "content"))
+    exploded = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), _host().alias("host"), F.posexplode(F.split("text", "\n")).alias("pos", "content"))
     bare = F.lower(_bare(F.col("content")))
     return exploded.where(bare != "").select("doc_id", "text_hash", "host", "pos", F.xxhash64(bare).alias("line"), F.size(_words(F.col("content"))).alias("line_words"))
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, cfg: RulesConfig) -> DataFrame:
     """(host, line) found in more documents of the host than its limit."""
-    host = F.when(F.col("source").isNull(), F.lit(0)).otherwise(F.xxhash64("source")).cast("bigint")
-    hosts = docs.where("doc_id is not null").select(host.alias("host"), "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = docs.where("doc_id is not null").select(_host().alias("host"), "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     counts = lines.where("doc_id is not null").select("host", "line", "doc_id").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
     over = counts.where(F.col("n_docs") > cfg.min_docs).join(hosts, "host")
     return over.where(F.col("n_docs") * 1000 > F.col("host_docs") * cfg.host_permille).select("host", "line")
 
 
-def quality_rules(docs: DataFrame, cfg: RulesConfig = RulesConfig()) -> DataFrame:
-    """doc_id, the base counts, base_failed, removed_words and kept for every row of docs (doc_id, text, source)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+def removed_lines(docs: DataFrame, cfg: RulesConfig = RulesConfig()) -> DataFrame:
+    """doc_id, text_hash, host, removed: (pos, words) of the removed lines, by place, for every document with such a line; pos counts the text's lines from 0."""
     lines = line_rows(docs)
     hit = lines.join(frequent_lines(lines, docs, cfg), ["host", "line"])
-    removed = hit.groupBy("doc_id", "text_hash", "pos").agg(F.max("line_words").alias("w")).groupBy("doc_id", "text_hash").agg(F.sum("w").alias("removed_words"))
-    base = base_counts(docs.withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")).drop("text")
-    r = removed.withColumnsRenamed({"doc_id": "r_doc", "text_hash": "r_hash"})
-    joined = base.join(r, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("text_hash") == F.col("r_hash")), "left")
-    lost = F.coalesce("removed_words", F.lit(0)).cast("bigint")
-    kept = ~F.col("base_failed") & (lost * 100 <= F.col("n_words") * cfg.depleted_percent)
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", lost.alias("removed_words"), kept.alias("kept"))
+    once = hit.select("doc_id", "text_hash", "host", F.struct("pos", F.col("line_words").alias("words")).alias("at")).distinct()  # rows may repeat
+    return once.groupBy("doc_id", "text_hash", "host").agg(F.sort_array(F.collect_list("at")).alias("removed"))
+
+
+def cleaned(docs: DataFrame, cfg: RulesConfig = RulesConfig()) -> DataFrame:
+    """Every row of docs (doc_id, text, source) with the base counts, base_failed, removed (see removed_lines; empty if none), removed_words, kept and clean_text, the text less its removed lines.
+
+    Unless clean_text or text is read, no text is shuffled."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+    base = base_counts(docs.withColumn("text_hash", F.xxhash64("text")).withColumn("host", _host()))
+    r = removed_lines(docs, cfg).withColumnsRenamed({"doc_id": "r_doc", "text_hash": "r_hash", "host": "r_host"})
+    same = F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("text_hash") == F.col("r_hash")) & (F.col("host") == F.col("r_host"))
+    d = base.join(r, same, "left").drop("r_doc", "r_hash", "r_host", "text_hash", "host")
+    d = d.withColumn("removed", F.coalesce("removed", F.array().cast(r.schema["removed"].dataType)))
+    d = d.withColumn("removed_words", F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, x: n + x["words"]))
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") * 100 <= F.col("n_words") * cfg.depleted_percent))
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("removed", lambda x: x["pos"]))
+    left = F.array_join(F.transform(stay, lambda k: F.get(F.col("_lines"), k)), "\n")
+    return d.withColumn("_lines", lines).withColumn("clean_text", F.when(F.size("removed") == 0, F.col("text")).otherwise(left)).drop("_lines")
+
+
+def quality_rules(docs: DataFrame, cfg: RulesConfig = RulesConfig()) -> DataFrame:
+    """doc_id, the base counts, base_failed, removed_words and kept for every row of docs (doc_id, text, source)."""
+    return cleaned(docs, cfg).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

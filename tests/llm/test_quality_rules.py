@@ -80,3 +80,29 @@ def test_limit_is_exclusive(spark, min_docs, kept):
     line = "the same long line in each of these documents of one host"
     df = ship(spark).createDataFrame([(k, line, "h", None) for k in range(3)], SCHEMA)
     assert {r.kept for r in Q.quality_rules(df, Q.RulesConfig(min_docs=min_docs)).collect()} == {kept}
+
+
+def test_cleaned_texts_are_the_rest(spark):
+    """Every row's text less the lines over its host's limit, in place; the columns of the query follow from it."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    key_of = lambda line: "".join(split(line)).lower()
+    first = rows_of()[0]
+    rows = rows_of() + [(*first[:2], "other", None), (70, "\n\nALL RIGHTS reservedhere\r\n \nits own line\n", "a", None), (71, "All rights reserved here", "a", None)]
+    hosts, seen = {}, {}
+    for doc, text, host, _ in rows:
+        if doc is not None:
+            hosts.setdefault(host, set()).add(doc)
+            for line in (text or "").split("\n"):
+                if key_of(line):
+                    seen.setdefault((host, key_of(line)), set()).add(doc)
+    want = []
+    for doc, text, host, _ in rows:
+        lines = text.split("\n") if text is not None else []
+        n = lambda x: len(seen.get((host, key_of(x)), ()))  # noqa: B023, E731
+        at = [k for k, x in enumerate(lines) if n(x) > 10 and n(x) * 1000 > len(hosts[host]) * 5]
+        want.append((doc, host, None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in at), at, sum(len(split(lines[k])) for k in at)))
+    got = Q.cleaned(ship(spark).createDataFrame(rows, SCHEMA)).collect()
+    flat = lambda rows: sorted(rows, key=repr)
+    assert flat((r.doc_id, r.source, r.clean_text, [x.pos for x in r.removed], r.removed_words) for r in got) == flat(want)
+    assert (70, "a", "\n\n \nits own line\n", [2], 3) in want and (71, "a", "", [0], 4) in want
+    assert all(r.removed_words == len(split(r.text or "")) - len(split(r.clean_text or "")) for r in got)
