@@ -5,7 +5,8 @@ all but the last return the columns of documents. run() writes each stage's rows
 Parquet to the folder that the executors share, and reads them again.
 
 * quality: documents that the positive-unlabelled classifier scores below 0.3 go.
-* language: documents without a letter, or with no language at 0.5 or more, go.
+* language: documents without a letter, or with no language at 0.5 or more, or with too few
+  of its words, go.
 * near_dup: of each class of near duplicates, the document of the smallest id stays.
 * packing: documents become pieces of sequences of 2048 tokens.
 

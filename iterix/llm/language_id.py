@@ -6,7 +6,10 @@ labelled documents. A word met in training scores by its log frequency in each
 language; an unseen word is cut into n-grams of the longest order of which it has a
 known one, and scores by their mean. A text goes to the language of the highest mean
 score over all its words; `score` is that language's share under a softmax of the
-total evidence, damped to a fixed number of words.
+total evidence, damped to a fixed number of words. As a share it says nothing of texts
+that are in none of the languages, so `accepted` also wants words that the chosen
+language is known to have: half the share usual in the language's own texts, measured
+on words that another text of the sample holds.
 
 Bounds, all parameters: `sample_docs` training documents for each language, chosen by a
 hash of the id (the sample fixes the model's size, not what is predicted); `max_words`
@@ -48,6 +51,8 @@ class LanguageConfig:
     smoothing: float = 0.5
     evidence_words: int = 12
     seed: int = 5
+    least_familiar: float = 0.5  # of the median of a language's own texts
+    doubt_words: int = 5
 
 
 _SEEN_LIMIT = 300_000
@@ -56,15 +61,19 @@ _SEEN_LIMIT = 300_000
 class _Rows(dict):
     """The row of each word in a table of scores; words not met before are scored as they come."""
 
-    def __init__(self, score, width: int):
+    def __init__(self, score, width: int, known: list[frozenset[str]]):
         super().__init__()
         self.score, self.table = score, np.zeros((1024, width))
+        self.known, self.known_in = np.zeros((1024, width), bool), known
 
     def __missing__(self, word: str) -> int:
         n = len(self)
         if n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
         self.table[n] = self.score(word)
+        for k, words in enumerate(self.known_in):
+            self.known[n, k] = word in words
         self[word] = n
         return n
 
@@ -76,6 +85,10 @@ class LanguageModel:
     grams: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
     orders: tuple[int, ...] = (5, 4, 3, 2, 1)
     evidence_words: int = 12
+    known: list[frozenset[str]] = field(default_factory=list)  # the words of each language
+    usual: tuple[float, ...] = ()  # the median share of known words in texts of each language
+    least_familiar: float = 0.5
+    doubt_words: int = 5
     _rows: _Rows | None = None
 
     def __getstate__(self):
@@ -93,23 +106,38 @@ class LanguageModel:
                 return tuple(sum(x) / len(found) for x in zip(*found))
         return (0.0,) * len(self.languages)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text."""
-        if not self.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        out = []
+    def _judged(self, texts: list[str | None]) -> Iterator[tuple[int, float, np.ndarray | None]]:
+        """Place of the language, score and rows of the words of each text; no words, no rows."""
         for text in texts:
-            words = _WORD.findall(text.lower()) if text else []
+            words = _WORD.findall(text.lower()) if text and self.languages else []
             if not words:
-                out.append((UNKNOWN, 0.0))
+                yield 0, 0.0, None
                 continue
             if self._rows is None or len(self._rows) > _SEEN_LIMIT:
-                self._rows = _Rows(self.word_scores, len(self.languages))
+                self._rows = _Rows(self.word_scores, len(self.languages), self.known)
             at = np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))
             evidence = self._rows.table[at].mean(axis=0) * min(len(words), self.evidence_words)
             share = np.exp(evidence - evidence.max())
             best = int(np.argmax(share))
-            out.append((self.languages[best], float(share[best] / share.sum())))
+            yield best, float(share[best] / share.sum()), at
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        return [(UNKNOWN, 0.0) if at is None else (self.languages[k], score) for k, score, at in self._judged(texts)]
+
+    def accepts(self, texts: list[str | None], least: float) -> list[bool]:
+        """Whether each text has a language of at least that score, and enough words of it.
+
+        Enough is `least_familiar` of the share usual in that language's own texts, where
+        `doubt_words` more words of the usual share are added, so a few unknown words alone
+        reject nothing."""
+        out = []
+        for k, score, at in self._judged(texts):
+            ok = at is not None and score >= least
+            if ok and self.usual:
+                share = (self._rows.known[at, k].sum() + self.doubt_words * self.usual[k]) / (len(at) + self.doubt_words)
+                ok = bool(share >= self.least_familiar * self.usual[k])
+            out.append(ok)
         return out
 
 
@@ -128,6 +156,13 @@ def _log_shares(by_language: list[Counter], limit: int, smoothing: float) -> dic
     return out
 
 
+def _usual_share(texts: list[Counter], known: frozenset[str]) -> float:
+    """The median over the texts of the share of their words that are known from another one."""
+    held = Counter(w for c in texts for w in c)
+    shares = [sum(n for w, n in c.items() if held[w] > 1 and w in known) / sum(c.values()) for c in texts if c]
+    return float(np.median(shares)) if shares else 0.0
+
+
 def fit(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """A model from labelled (doc_id, text, lang): at most sample_docs documents of each language, those of the lowest hash."""
     from pyspark.sql import Window
@@ -147,10 +182,15 @@ def fit(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> Language
 def fit_rows(rows: list[tuple[str, str]], cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
     languages = sorted({lang for lang, _ in rows})
     words = {lang: Counter() for lang in languages}
+    texts: dict[str, list[Counter]] = {lang: [] for lang in languages}
     for lang, text in rows:
-        words[lang].update(_WORD.findall(text.lower()))
-    model = LanguageModel(languages, orders=cfg.orders, evidence_words=cfg.evidence_words)
+        found = Counter(_WORD.findall(text.lower()))
+        words[lang].update(found)
+        texts[lang].append(found)
+    model = LanguageModel(languages, orders=cfg.orders, evidence_words=cfg.evidence_words, least_familiar=cfg.least_familiar, doubt_words=cfg.doubt_words)
     model.words = _log_shares([words[x] for x in languages], cfg.max_words, cfg.smoothing)
+    model.known = [frozenset(w for w in words[x] if w in model.words) for x in languages]
+    model.usual = tuple(_usual_share(texts[x], known) for x, known in zip(languages, model.known))
     for order in cfg.orders:
         grams = []
         for lang in languages:
@@ -183,9 +223,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows of docs (text, ...) with a language of at least that score."""
+    """The rows of docs (text, ...) with a language of at least that score, and words of it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return kept_rows(docs, lambda texts: [lang != UNKNOWN and score >= least for lang, score in shared.value.predict(texts.to_pylist())])
+    return kept_rows(docs, lambda texts: shared.value.accepts(texts.to_pylist(), least))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,21 @@ def written(n=600, seed=2):
 LABELS = "doc_id long, quality int, toxic int"
 
 
+def test_texts_in_no_language_are_not_accepted(spark):
+    g = random.Random(7)
+    vocabulary = {lang: ["".join(g.choice(letters) for _ in range(g.randint(3, 7))) for _ in range(80)] for lang, letters in (("aa", "abcdeo"), ("bb", "mnopqu"))}
+    say = lambda lang, n: " ".join(g.choice(vocabulary[lang]) for _ in range(n))
+    noise = lambda n: " ".join("".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(g.randint(4, 9))) for _ in range(n))
+    model = L.fit_rows([(lang, say(lang, 40)) for lang in vocabulary for _ in range(50)])
+    good = [say(lang, n) for lang in vocabulary for n in (3, 20, 200)] + [say("aa", 20) + " " + noise(10), vocabulary["aa"][0] + " zyxwv"]
+    bad = [noise(n) for n in (20, 50, 200)]
+    assert all(score >= 0.5 for _, score in model.predict(good + bad))  # the score alone tells nothing
+    df = ship(spark).createDataFrame([(t,) for t in good + bad + ["", "12 34", None]], "text string")
+    assert sorted(r.text for r in L.accepted(df, model).collect()) == sorted(good)
+    one = L.fit_rows([("aa", "only one text"), ("bb", "und noch einer")])  # nothing to measure what is usual
+    assert one.accepts(["only words unheard of in this"], 0.0) == [True]
+
+
 def test_quality_of_held_out_texts(spark):
     rows, known, _ = written()
     docs, labels = ship(spark).createDataFrame(rows, DOCS), spark.createDataFrame(known, LABELS)
