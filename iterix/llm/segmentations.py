@@ -31,6 +31,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,13 +41,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from iterix.llm._bpe import Numbers
+from iterix.llm._bpe import spans as _spans
 from iterix.llm._text import mix
 from iterix.session import ship
 
 SPACE = "▁"
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
+#: Of a multiplicative congruential generator modulo 2^64 (Steele and Vigna 2021); its keys are odd, its high bits are used.
+_MULTIPLIER = _U(0xD1342543DE82EF95)
 _SCHEMA = "doc_id long, sample int, {} log_prob double, inclusion double"
 
 
@@ -57,7 +63,7 @@ class SegmentationConfig:
     seed: int = 17
     unknown_rank: int = 10_000_000
     batch_chars: int = 1 << 19
-    kept_edges: int = 4_000_000
+    kept_edges: int = 10_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -65,11 +71,6 @@ def normalise(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The indices start[k] .. start[k] + length[k] - 1, for each k in turn."""
-    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-
-
 def _unit(key: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1) from hashes."""
     u = (mix(key) >> _U(11)).astype(np.float64)
@@ -90,13 +91,13 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
-        self.byte_id = np.full(256, -1, np.int64)
+        self.byte_id, self.is_byte = np.full(256, -1, np.int64), np.zeros(n + 1, bool)  # the last place: no piece
         self.surface: list[bytes] = [b""] * n
         pieces: dict[str, int] = {}
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
-                self.byte_id[int(piece[3:5], 16)] = i
+                self.byte_id[int(piece[3:5], 16)], self.is_byte[i] = i, True
                 self.surface[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 pieces[piece] = i
@@ -159,20 +160,27 @@ class Vocabulary:
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def spells(self, ids: np.ndarray, n: np.ndarray, texts: list[str | None]) -> np.ndarray:
-        """Whether each text's n ids decode to it."""
+    def targets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The joined bytes that the pieces of each text spell, and their number."""
         whole = [normalise(t).encode("utf-8", "surrogatepass") for t in texts]
-        size = np.array([len(w) for w in whole], np.int64)
+        return np.frombuffer(b"".join(whole), np.uint8), np.array([len(w) for w in whole], np.int64)
+
+    def spells(self, ids: np.ndarray, n: np.ndarray, target: tuple[np.ndarray, np.ndarray], text: np.ndarray) -> np.ndarray:
+        """Whether the n ids of each of the texts decode to it; target: of all texts."""
+        raw, size = target
+        if len(text) < len(size):
+            raw, size = raw[_spans((np.cumsum(size) - size)[text], size[text])], size[text]
         width = self.bytes_of[ids]
         ends = np.concatenate([[0], np.cumsum(width)])
         head = np.cumsum(n) - n
         out = ends[head + n] - ends[head] == size
         if out.all() and len(ids):
-            same = self.flat[_spans(self.bytes_at[ids], width)] == np.frombuffer(b"".join(whole), np.uint8)
+            same = self.flat[_spans(self.bytes_at[ids], width)] == raw
             full = np.flatnonzero(size)
             out[full] = np.logical_and.reduceat(same, (np.cumsum(size) - size)[full])
         elif len(ids):  # lengths differ somewhere: text by text
-            out = np.array([b"".join(self.surface[i] for i in ids[h : h + m]) == w for h, m, w in zip(head, n, whole)], bool)
+            at = np.concatenate([[0], np.cumsum(size)])
+            out = np.array([b"".join(self.surface[i] for i in ids[h : h + m]) == raw[i:j].tobytes() for h, m, i, j in zip(head, n, at, at[1:])], bool)
         return out
 
     def decode(self, ids) -> str:
@@ -186,7 +194,7 @@ class Lattice:
 
     #: Of a node: its first edge (-1 at its word's end), its number of edges, its character.
     NODES = {"begin": np.int32, "degree": np.int32, "point": np.int32}
-    #: Of an edge: the nodes it joins, its piece (-1: none), its log probability at its node, the sum of probabilities up to it there, that of all others.
+    #: Of an edge: the nodes it joins, its piece (-1: the byte pieces of its character), its log probability at its node, the sum of probabilities up to it there, that of all others.
     EDGES = {"start": np.int32, "stop": np.int32, "piece": np.int32, "logp": np.float64, "cum": np.float64, "rest": np.float64}
 
     def __init__(self, vocabulary: Vocabulary, cfg: SegmentationConfig):
@@ -246,7 +254,8 @@ class Lattice:
             if not found:  # one letter; a character without a piece still has an edge
                 single[starts] = True
                 lone = at[~single[at]]
-                found.append((lone, lone + 1, np.full(len(lone), -1, np.int32), degree[lone]))
+                alone = np.where(point[lone] < 128, vocabulary.byte_id[point[lone] & 127], -1).astype(np.int32)  # of one byte, or of several
+                found.append((lone, lone + 1, alone, degree[lone]))
                 degree[lone] += 1
             found.append((starts, reach[hit], of[hit], degree[starts]))
             degree[starts] += 1
@@ -256,7 +265,7 @@ class Lattice:
         for starts, stops, pieces, nth in found:  # a node's longest edge, often the likeliest, comes first
             to = begin[starts] + degree[starts] - 1 - nth
             start[to], stop[to], piece[to] = starts, stops, pieces
-        weight = self.weights[piece]
+        weight = self.weights[np.where(vocabulary.is_byte[piece], -1, piece)]
         # mass from each node to its word's end, nearest nodes first
         mass = np.zeros(n_nodes)
         distance = np.repeat(first + lengths, lengths + 1) - np.arange(n_nodes, dtype=np.int32)
@@ -301,14 +310,14 @@ class Lattice:
                 break
             if len(on) < len(edge):
                 which, edge, key = which[on], edge[on], key[on]
-            u = _unit(key)
+            u = (key >> _U(11)) * 2.0**-53
             more = np.flatnonzero(self.cum[edge] <= u)
             while len(more):
                 edge[more] += 1
                 more = more[self.cum[edge[more]] <= u[more]]
             lengths[which] += 1
             taken.append((which, edge))
-            node, key = self.stop[edge], key + _STEP
+            node, key = self.stop[edge], key * _MULTIPLIER
         start = np.cumsum(lengths) - lengths
         edges = np.zeros(int(lengths.sum()), np.int32)
         for k, (which, edge) in enumerate(taken):  # every walk takes one step a turn
@@ -363,7 +372,7 @@ class Search:
         inside = np.flatnonzero((node >= 0) & (n > 0))
         begin[head[inside]] = node[inside]
         nth = place - np.repeat(self.word_first[text], n)
-        key = mix(np.repeat(self._key(text, turn, 0), n) + nth.astype(np.uint64) * _U(0xD1B54A32D192ED03))
+        key = mix(np.repeat(self._key(text, turn, 0), n) + nth.astype(np.uint64) * _U(0xD1B54A32D192ED03)) | _U(1)
         walked, edge = self.lat.walk(begin, key)
         ends = np.concatenate([[0], np.cumsum(walked)])
         return ends[head + n] - ends[head], np.repeat(place, walked), edge
@@ -501,19 +510,6 @@ class Search:
         return out
 
 
-class _Numbers(dict):
-    """Numbers words as they come; new: those since it was last emptied."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
-
-
 def row_keys(doc_ids: pa.Array, seed: int) -> np.ndarray:
     null = np.asarray(doc_ids.is_null())
     ids = np.asarray(doc_ids.fill_null(0)).astype(np.int64).view(np.uint64)
@@ -521,30 +517,79 @@ def row_keys(doc_ids: pa.Array, seed: int) -> np.ndarray:
 
 
 class Sampler:
-    """Samples of batches of texts. The lattices of the words met first are kept, up to a limit; others are made for each batch."""
+    """Samples of batches of texts. Texts are cut at their spaces into units of one or more words; the lattices of units met in a second batch are kept, up to a limit, others are made for each batch."""
 
     def __init__(self, vocabulary: Vocabulary, cfg: SegmentationConfig):
         self.vocabulary, self.cfg = vocabulary, cfg
-        self.lattice, self.numbers = Lattice(vocabulary, cfg), _Numbers()
+        self.lattice, self.units = Lattice(vocabulary, cfg), {}
         self.kept = (0, 0, 0)
+        self.met = np.zeros(1 << 22, bool)  # hashes of units
+        self.word_at, self.word_count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)  # of each unit: its first word in the lattice, and how many
+
+    @staticmethod
+    def _cut(text: str | None) -> list:
+        """The units of a text: a string stands for what follows a space mark, a tuple for a text whose spaces do not part its words."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+            return [(text,)]
+        return text.split(" ")
+
+    def _add(self, units: list, first: int) -> None:
+        """Make the lattices of units, the first of them being that number."""
+        if not units:
+            return
+        find = self.vocabulary.words.findall
+        plain = [u for u in units if type(u) is str]
+        words = find(SPACE + SPACE.join(plain)) if plain else []
+        heads = [k for k, w in enumerate(words) if w[0] == SPACE]
+        counts = np.diff(np.array([*heads, len(words)], np.int64))
+        if len(plain) < len(units):
+            odd = [find(normalise(u[0])) for u in units if type(u) is tuple]
+            words += [w for x in odd for w in x]
+            counts = np.concatenate([counts, np.array([len(x) for x in odd], np.int64)])
+            tail = np.array([type(u) is tuple for u in units])
+            order = np.empty(len(units), np.int64)
+            order[~tail], order[tail] = np.arange(len(plain)), np.arange(len(plain), len(units))
+        else:
+            order = np.arange(len(units))
+        to = first + len(units)
+        if to > len(self.word_at):
+            self.word_at, self.word_count = (np.concatenate([x[:first], np.zeros(2 * to - first, np.int64)]) for x in (self.word_at, self.word_count))
+        self.word_at[first:to] = self.lattice.size[0] + (np.cumsum(counts) - counts)[order]
+        self.word_count[first:to] = counts[order]
+        self.lattice.add(words)
 
     def _words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts in turn, as numbers of the lattice, and how many each has."""
-        lattice, numbers = self.lattice, self.numbers
-        for word in numbers.new:  # of the batch before, and not kept
-            del numbers[word]
-        numbers.new = []
-        words: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
+        cut: list = []
+        ends = np.zeros(len(texts) + 1, np.int64)
         for k, text in enumerate(texts):
-            found = self.vocabulary.words.findall(normalise(text))
-            counts[k] = len(found)
-            words += map(numbers.__getitem__, found)
-        lattice.size = self.kept
-        lattice.add(numbers.new)
-        if lattice.size[2] <= self.cfg.kept_edges:
-            self.kept, numbers.new = lattice.size, []
-        return np.array(words, np.int64), counts
+            cut += self._cut(text)
+            ends[k + 1] = len(cut)
+        at = np.fromiter(map(self.units.get, cut, itertools.repeat(-1)), np.int64, len(cut))
+        missed = np.flatnonzero(at < 0)
+        self.lattice.size = self.kept
+        if len(missed):
+            numbers = Numbers()
+            of = np.fromiter(map(numbers.__getitem__, [cut[k] for k in missed.tolist()]), np.int64, len(missed))
+            new, first = list(numbers), len(self.units)
+            code = np.fromiter(map(hash, new), np.int64, len(new)) & (len(self.met) - 1)
+            again = self.met[code] & np.array([type(u) is str and len(u) <= 64 for u in new])
+            self.met[code] = True
+            again &= self.kept[2] < self.cfg.kept_edges
+            place = np.empty(len(new), np.int64)
+            stay = np.flatnonzero(again)
+            place[stay], place[~again] = np.arange(len(stay)), np.arange(len(stay), len(new))
+            kept = [new[k] for k in stay.tolist()]
+            self._add(kept, first)
+            self.units.update(zip(kept, range(first, first + len(kept))))
+            self.kept = self.lattice.size
+            self._add([new[k] for k in np.flatnonzero(~again).tolist()], first + len(kept))
+            at[missed] = first + place[of]
+        size = self.word_count[at]
+        sums = np.concatenate([[0], np.cumsum(size)])
+        return _spans(self.word_at[at], size), sums[ends[1:]] - sums[ends[:-1]]
 
     def samples(self, texts: list[str | None], keys: np.ndarray) -> Iterator[tuple[int, Samples, np.ndarray, np.ndarray]]:
         """(rank, samples, ids, ids of each text), the most likely rank first."""
@@ -565,6 +610,7 @@ class Sampler:
 
 
 _vocabularies: dict[str, Vocabulary] = {}
+_samplers: dict[tuple[str, SegmentationConfig], Sampler] = {}
 
 
 def vocabulary(name: str) -> Vocabulary:
@@ -591,18 +637,20 @@ def _runs(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
 
 
 def _each(docs: DataFrame, model: str, cfg: SegmentationConfig, column: str, make) -> DataFrame:
-    """Rows of samples; make(texts, ids, ends, vocabulary) gives the arrays of the columns named in column."""
+    """Rows of samples; make(ids, number of each text, vocabulary, targets, texts) gives the arrays of the columns named in column."""
     names = ["doc_id", "sample", *[c.split()[0] for c in column.split(",") if c.strip()], "log_prob", "inclusion"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        sampler = Sampler(v, cfg)
+        if (model, cfg) not in _samplers:  # one for each worker process, so that tasks share its lattices
+            _samplers[model, cfg] = Sampler(v, cfg)
+        sampler = _samplers[model, cfg]
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), row_keys(batch.column(0), cfg.seed)
             for lo, hi in _runs(texts, cfg.batch_chars):
-                own = batch.column(0).slice(lo, hi - lo)
+                own, target = batch.column(0).slice(lo, hi - lo), v.targets(texts[lo:hi])
                 for rank, s, ids, n in sampler.samples(texts[lo:hi], keys[lo:hi]):
-                    more = make([texts[lo + k] for k in s.text], ids, n, v)
+                    more = make(ids, n, v, target, s.text)
                     yield pa.RecordBatch.from_arrays([own.take(pa.array(s.text)), pa.array(np.full(len(s.text), rank, np.int32)), *more, pa.array(s.log_prob), pa.array(s.inclusion)], names)
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -612,34 +660,36 @@ def _each(docs: DataFrame, model: str, cfg: SegmentationConfig, column: str, mak
 def sample_segmentations(docs: DataFrame, model: str = "piece_bpe_32k.model", cfg: SegmentationConfig = SegmentationConfig()) -> DataFrame:
     """doc_id, sample (from 1), ids array<int>, log_prob, inclusion: up to cfg.samples rows for every row of docs (doc_id, text)."""
 
-    def make(texts: list, ids: np.ndarray, n: np.ndarray, v: Vocabulary) -> list[pa.Array]:
+    def make(ids: np.ndarray, n: np.ndarray, v: Vocabulary, target: tuple, text: np.ndarray) -> list[pa.Array]:
         return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
     return _each(docs, model, cfg, "ids array<int>,", make)
 
 
-def decode(rows: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """rows (ids array<int>, ...) with a column text: what the ids spell. A null list gives a null text."""
-    rest = [c for c in rows.columns if c not in ("ids", "text")]
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest), "ids array<int>", "text string"])
+def decode(rows: DataFrame, model: str = "piece_bpe_32k.model", column: str = "text") -> DataFrame:
+    """rows (ids array<int>, ...) with a column more: what the ids spell. A null list gives a null text; a column of that name must not be there yet."""
+    if column in rows.columns:
+        raise ValueError(f"the rows have a column {column!r}; name another one for the decoded text")
+    rest = [c for c in rows.columns if c != "ids"]
+    schema = T.StructType([*(rows.schema[c] for c in rest), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField(column, T.StringType())])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
             texts = [None if x is None else v.decode(x) for x in batch.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*rest, "ids", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*rest, "ids", column])
 
-    return rows.select(*rest, F.col("ids").cast("array<int>").alias("ids")).mapInArrow(spell, schema)
+    return rows.select(*(F.col(f"`{c}`") for c in rest), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(spell, schema)
 
 
 def segmentation_digests(docs: DataFrame, model: str = "piece_bpe_32k.model", cfg: SegmentationConfig = SegmentationConfig()) -> DataFrame:
     """As sample_segmentations, with digests in place of the ids: n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip (the ids decode to the whole text)."""
 
-    def make(texts: list, ids: np.ndarray, n: np.ndarray, v: Vocabulary) -> list[pa.Array]:
+    def make(ids: np.ndarray, n: np.ndarray, v: Vocabulary, target: tuple, text: np.ndarray) -> list[pa.Array]:
         end = (4 * np.cumsum(n)).tolist()
         raw = ids.astype("<u4").tobytes()
         crc = [zlib.crc32(raw[i:j]) for i, j in zip([0, *end], end)]
-        return [pa.array(n), pa.array(crc, pa.int64()), pa.array(v.spells(ids, n, texts))]
+        return [pa.array(n), pa.array(crc, pa.int64()), pa.array(v.spells(ids, n, target, text))]
 
     return _each(docs, model, cfg, "n_tokens long, ids_crc32 long, round_trip boolean,", make)
 

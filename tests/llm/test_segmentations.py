@@ -118,4 +118,7 @@ def test_query_columns_and_edge_rows(spark):
     back = S.decode(S.sample_segmentations(docs)).collect()
     assert {r.text for r in back if r.doc_id == 1} == {"a cat sat"} and {r.text for r in back if r.doc_id in (2, 3)} == {""}
     assert S.segmentation_digests(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        S.decode(S.sample_segmentations(docs).withColumnRenamed("sample", "text"))
+    assert {r.found for r in S.decode(S.sample_segmentations(docs).withColumnRenamed("sample", "text"), column="found").collect() if r.doc_id == 1} == {"a cat sat"}
     assert list(itertools.islice(S._runs(["a" * 10, "b" * 10, None], 12), 5)) == [(0, 1), (1, 3)]
