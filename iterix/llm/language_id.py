@@ -11,15 +11,18 @@ that are in none of the languages, so `accepted` also wants words that the chose
 language is known to have: half the share usual in the language's own texts, measured
 on words that another text of the sample holds.
 
-Bounds, all parameters: `sample_docs` training documents for each language, chosen by a
-hash of the id (the sample fixes the model's size, not what is predicted); `max_words`
-and `max_grams` entries by order. Every text is predicted whole, in one pass without a
-shuffle.
-
-Words are runs of letters, lower-cased, so digits, punctuation and symbols do not vote.
+Bound, a parameter: `sample_docs` training documents for each language, those of the lowest
+hash of id and text. Their words are counted on the executors; words and n-grams seen
+`least_seen` times or more are in the model, the rest only through their n-grams, so the model
+follows the sample's vocabulary and no size is set. Every text is predicted whole, in one
+pass without a shuffle.
+
+Words are runs of letters (Unicode category L), lower-cased, so digits, numerals such as
+one half, punctuation and symbols do not vote.
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to
-the first language by name; without any labelled row all rows are `und`; repeated rows
-repeat; other columns are ignored.
+the first language by name; a very long text is one row like others; without any labelled
+row all rows are `und`; rows that repeat an id and a text are one document of the sample,
+and repeat in the result; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,18 +38,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iterix.llm._links import kept_rows
+from iterix.llm._links import kept_rows, stored
 from iterix.session import ship
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are numerals and no letters.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LanguageConfig:
     sample_docs: int = 600
-    max_words: int = 30_000
-    max_grams: int = 20_000
+    least_seen: int = 2
     orders: tuple[int, ...] = (5, 4, 3, 2, 1)
     smoothing: float = 0.5
     evidence_words: int = 12
@@ -141,67 +145,114 @@ class LanguageModel:
         return out
 
 
-def _log_shares(by_language: list[Counter], limit: int, smoothing: float) -> dict[str, tuple[float, ...]]:
-    kept: set[str] = set()
-    for c in by_language:
-        kept.update(k for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:limit])
-    logs = []
-    for c in by_language:
-        whole = sum(c.values()) + smoothing * (len(kept) + 1)
-        logs.append((c, whole))
+def _log_shares(by_language: list[Counter], totals: list[int], smoothing: float) -> dict[str, tuple[float, ...]]:
+    kept = set().union(*by_language)
+    wholes = [n + smoothing * (len(kept) + 1) for n in totals]
     out = {}
     for k in kept:
-        row = np.array([math.log((c[k] + smoothing) / whole) for c, whole in logs])
+        row = np.array([math.log((c[k] + smoothing) / whole) for c, whole in zip(by_language, wholes)])
         out[k] = tuple((row - row.mean()).tolist())  # only differences between languages matter; a gram of another length then weighs alike
     return out
 
 
-def _usual_share(texts: list[Counter], known: frozenset[str]) -> float:
-    """The median over the texts of the share of their words that are known from another one."""
-    held = Counter(w for c in texts for w in c)
-    shares = [sum(n for w, n in c.items() if held[w] > 1 and w in known) / sum(c.values()) for c in texts if c]
-    return float(np.median(shares)) if shares else 0.0
+def _marked_grams(word: str, order: int) -> list[str]:
+    marked = f"<{word}>"
+    return [marked[k : k + order] for k in range(len(marked) - order + 1)]
 
 
-def fit(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
-    """A model from labelled (doc_id, text, lang): at most sample_docs documents of each language, those of the lowest hash."""
+def _model(languages: list[str], words: list[Counter], totals: list[int], grams: dict[int, list[Counter]], gram_totals: dict[int, list[int]], usual: list[float], cfg: LanguageConfig) -> LanguageModel:
+    model = LanguageModel(languages, orders=cfg.orders, evidence_words=cfg.evidence_words, least_familiar=cfg.least_familiar, doubt_words=cfg.doubt_words)
+    model.words = _log_shares(words, totals, cfg.smoothing)
+    model.known = [frozenset(c) for c in words]
+    model.usual = tuple(usual)
+    model.grams = {order: _log_shares(grams[order], gram_totals[order], cfg.smoothing) for order in cfg.orders}
+    return model
+
+
+def _sample(labelled: DataFrame, cfg: LanguageConfig) -> DataFrame:
+    """lang, text, h, tie of the sample_docs documents of each language with the lowest hashes."""
     from pyspark.sql import Window
 
-    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(cfg.seed)).alias("h"))
-    # the lowest hashes of each language: a partial top-k in every task, so no language lands in one
-    low = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = {r["lang"]: min(1.0, 2.0 * cfg.sample_docs / max(1, r["n"])) for r in low.collect()}
-    if not share:
+    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(cfg.seed)).alias("h"), F.xxhash64("text").alias("tie"))
+    size = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    # a threshold first, so that few texts move; then a top-k that starts in every task, so no language lands in one
+    near = rows.join(size, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size") <= 2.0 * cfg.sample_docs + 100)
+    order = Window.partitionBy("lang").orderBy("h", "tie")
+    return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= cfg.sample_docs).select("lang", "text", "h", "tie")
+
+
+def fit(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
+    """A model from a sample of labelled (doc_id, text, lang). Only counts come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "h", "tie", "word", "n"]
+        for batch in batches:
+            for lang, text, h, tie in zip(*(c.to_pylist() for c in batch.columns)):
+                found = Counter(_WORD.findall(text.lower()))
+                if found:
+                    columns = [[lang] * len(found), [h] * len(found), [tie] * len(found), list(found), list(found.values())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "len", "gram", "n"]
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for order in cfg.orders:
+                    for g in _marked_grams(word, order):
+                        found[lang, order, g] += n
+            if found:
+                columns = [*zip(*found), list(found.values())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names)
+
+    held = stored(_sample(labelled, cfg).mapInArrow(count, "lang string, h long, tie long, word string, n long").distinct())
+    words = stored(held.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
+    grams = stored(words.select("lang", "word", "n").mapInArrow(cut, "lang string, len int, gram string, n long").groupBy("lang", "len", "gram").agg(F.sum("n").alias("n")))
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language of the sample
+    languages = sorted(totals)
+    if not languages:
         return LanguageModel([])
-    cut = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(-(2**63) + v * (2**64 - 1)) if v < 1 else 2**63 - 1))])
-    near = rows.where(F.col("h") <= cut[F.col("lang")])
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= cfg.sample_docs)
-    return fit_rows([(r["lang"], r["text"]) for r in ranked.select("lang", "text").collect()], cfg)
+    gram_totals = {(r["lang"], r["len"]): r["n"] for r in grams.groupBy("lang", "len").agg(F.sum("n").alias("n")).collect()}
+    often = words.groupBy("word").agg(F.sum("n").alias("whole")).where(F.col("whole") >= cfg.least_seen)
+    often_grams = grams.groupBy("len", "gram").agg(F.sum("n").alias("whole")).where(F.col("whole") >= cfg.least_seen)
+    by_word = {lang: Counter() for lang in languages}
+    for r in words.join(often, "word").select("lang", "word", "n").collect():
+        by_word[r["lang"]][r["word"]] = r["n"]
+    by_gram = {order: {lang: Counter() for lang in languages} for order in cfg.orders}
+    for r in grams.join(often_grams, ["len", "gram"]).select("lang", "len", "gram", "n").collect():
+        by_gram[r["len"]][r["lang"]][r["gram"]] = r["n"]
+    # the share of a text's words that another text of the language has: its median
+    share = held.join(words.where("docs > 1").select("lang", "word", F.lit(1).alias("known")), ["lang", "word"], "left").groupBy("lang", "h", "tie").agg((F.sum(F.col("n") * F.coalesce("known", F.lit(0))) / F.sum("n")).alias("share"))
+    usual = {r["lang"]: r["usual"] for r in share.groupBy("lang").agg(F.percentile("share", 0.5).alias("usual")).collect()}
+    return _model(
+        languages, [by_word[x] for x in languages], [totals[x] for x in languages],
+        {o: [by_gram[o][x] for x in languages] for o in cfg.orders}, {o: [gram_totals.get((x, o), 0) for x in languages] for o in cfg.orders},
+        [usual[x] for x in languages], cfg,
+    )
 
 
 def fit_rows(rows: list[tuple[str, str]], cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
+    """As fit, from a list of (language, text), all of which are used; written out plainly."""
     languages = sorted({lang for lang, _ in rows})
-    words = {lang: Counter() for lang in languages}
-    texts: dict[str, list[Counter]] = {lang: [] for lang in languages}
-    for lang, text in rows:
-        found = Counter(_WORD.findall(text.lower()))
-        words[lang].update(found)
-        texts[lang].append(found)
-    model = LanguageModel(languages, orders=cfg.orders, evidence_words=cfg.evidence_words, least_familiar=cfg.least_familiar, doubt_words=cfg.doubt_words)
-    model.words = _log_shares([words[x] for x in languages], cfg.max_words, cfg.smoothing)
-    model.known = [frozenset(w for w in words[x] if w in model.words) for x in languages]
-    model.usual = tuple(_usual_share(texts[x], known) for x, known in zip(languages, model.known))
+    texts = {x: [c for lang, text in rows if lang == x and (c := Counter(_WORD.findall(text.lower())))] for x in languages}
+    words = [sum(texts[x], Counter()) for x in languages]
+    grams = {order: [Counter() for _ in languages] for order in cfg.orders}
     for order in cfg.orders:
-        grams = []
-        for lang in languages:
-            c: Counter = Counter()
-            for w, n in words[lang].items():
-                marked = f"<{w}>"
-                for k in range(len(marked) - order + 1):
-                    c[marked[k : k + order]] += n
-            grams.append(c)
-        model.grams[order] = _log_shares(grams, cfg.max_grams, cfg.smoothing)
-    return model
+        for c, of in zip(words, grams[order]):
+            for w, n in c.items():
+                for g in _marked_grams(w, order):
+                    of[g] += n
+
+    def often(by_language: list[Counter]) -> list[Counter]:
+        whole = sum(by_language, Counter())
+        return [Counter({k: n for k, n in c.items() if whole[k] >= cfg.least_seen}) for c in by_language]
+
+    usual = []
+    for x in languages:
+        held = Counter(w for c in texts[x] for w in c)
+        shares = [sum(n for w, n in c.items() if held[w] > 1) / sum(c.values()) for c in texts[x]]
+        usual.append(float(np.median(shares)) if shares else 0.0)
+    return _model(languages, often(words), [sum(c.values()) for c in words], {o: often(grams[o]) for o in cfg.orders}, {o: [sum(c.values()) for c in grams[o]] for o in cfg.orders}, usual, cfg)
 
 
 def held_out(modulus: int, remainder: int) -> Column:
@@ -210,7 +261,7 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -7,25 +7,30 @@ Training minimises the non-negative unbiased risk (Kiryo et al. 2017)
 of a small network over text statistics, with the logistic loss: R_p over trusted
 positives (label 1), R_u over unlabelled documents (their labels, if any, unused).
 When the second term goes negative, its gradient is reversed, which keeps the model
-from explaining unlabelled positives away. The class prior pi is estimated from the
-labelled training rows; without labelled negatives it falls back to `default_prior`.
+from explaining unlabelled positives away. The class prior pi is estimated from positives
+and unlabelled documents alone (Garg et al. 2021): a network that tells the two apart is
+trained on one half of both, and on the other half the share of unlabelled documents above
+a score, over that of positives, is least where the best bin is pure. No label 0 is read.
 
 The statistics describe form, not topic: shares of symbols, capitals, digits, bars and
 repeated words and lines, word lengths, entropy. All come from whole texts, in one
 pass of numpy over Arrow batches; no language, source or id goes in.
 
-Bounds, as parameters: at most `sample` positives and `sample` unlabelled rows, of the
-lowest id hashes, are gathered for the fit; every row is scored.
+Bounds, as parameters, on what the fit reads: at most `sample` positives and `sample`
+unlabelled rows, of the lowest id hashes; only their statistics are sorted and gathered.
+Every row is scored.
 
-Defined cases: null and empty texts get the score of their (all zero) statistics;
-labels of 0, null or other values are not positives; without a positive, all
-scores are the prior; repeated rows repeat; other columns are ignored.
+Defined cases: null and empty texts get the score of their (all zero) statistics; a very
+long text is measured by itself; labels of 0, null or other values are not positives, and
+neither is an id with other labels beside 1; samples with equal hashes go by id and then by
+statistics, so ties do not depend on the order of rows; without a positive, all scores are
+`default_prior`; repeated rows repeat; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +83,8 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     tail[1:] = symbol[1:] & letter[:-1]
     loud = np.zeros(len(raw), bool)
     loud[1:] = upper[1:] & upper[:-1]
+    heads = off[:-1][size > 0]  # what came before is another text
+    tail[heads] = loud[heads] = False
     stop = (raw == 46) | (raw == 44)
     lines = total(raw == 10)
     per = [total(symbol), total(upper), total(lower), total(_DIGIT[raw]), total(bang), total(bar), total(raw >= 128), total(space), total(tail), total(loud), total(stop)]
@@ -95,7 +102,7 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     ]
     out[:] = np.stack(columns, axis=1)
     out[size == 0] = 0
-    return np.minimum(out, 10)
+    return np.round(np.minimum(out, 10), 9)  # alike in every batch
 
 
 def _windows(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +149,8 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(h @ w2 + b2, -30, 30)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, cfg: QualityConfig = QualityConfig()) -> QualityModel:
-    """Adam on the non-negative risk."""
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, cfg: QualityConfig = QualityConfig(), naive: bool = False) -> QualityModel:
+    """Adam on the non-negative risk; naive: on the plain one of positives against unlabelled."""
     if not len(positive) or not len(unlabelled):
         return QualityModel(prior, np.zeros(N_FEATURES), np.ones(N_FEATURES), [])
     g = np.random.default_rng(cfg.seed)
@@ -162,7 +169,9 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, cfg: Quali
             z = h @ theta[2] + theta[3]
             zp, zu = z[: len(xp)], z[len(xp) :]
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            if negative >= 0:
+            if naive:
+                dz = np.concatenate([(sigmoid(zp) - 1) / len(xp), sigmoid(zu) / len(xu)])
+            elif negative >= 0:
                 dz = np.concatenate([prior * (sigmoid(zp) - 1 - sigmoid(zp)) / len(xp), sigmoid(zu) / len(xu)])
             else:  # step back along the negative part
                 dz = np.concatenate([prior * sigmoid(zp) / len(xp), -sigmoid(zu) / len(xu)])
@@ -177,36 +186,48 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, cfg: Quali
     return QualityModel(prior, mean, scale, [(theta[0], theta[1]), (theta[2], theta[3])])
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, cfg: QualityConfig = QualityConfig()) -> float:
+    """The share of positives among the unlabelled, by the best bin of a classifier of positives against unlabelled."""
+    if min(len(positive), len(unlabelled)) < 40:
+        return cfg.default_prior
+    model = train(positive[::2], unlabelled[::2], 0.5, replace(cfg, epochs=cfg.epochs // 2), naive=True)
+    p, u = (np.sort(model.score(x[1::2]))[::-1] for x in (positive, unlabelled))
+    error = np.sqrt(np.log(4 / 0.1) / 2) * (len(u) ** -0.5 + len(p) ** -0.5)  # of both shares, by Dvoretzky, Kiefer and Wolfowitz
+    cut = np.unique(p)
+    above = lambda x: 1 - np.searchsorted(x[::-1], cut, "left") / len(x)
+    share_p, share_u = above(p), above(u)
+    best = int(np.argmin((share_u + error) / np.maximum(share_p, 1e-9)))
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
 def _lowest(rows: DataFrame, n: int, salt: str) -> np.ndarray:
-    """Statistics of the n rows of the lowest id hash. A hash threshold comes first, so that few texts move."""
+    """Statistics of the n rows of the lowest id hash. A hash threshold comes first, so that few texts are read; only numbers are sorted."""
     h = F.xxhash64(F.col("doc_id"), F.lit(salt))
     whole = rows.count()
     if whole > 2 * n:
         rows = rows.where(h < int(-(2**63) + 2.0 * n / whole * 2**64))
-    picked = rows.select("doc_id", "text", h.alias("h")).orderBy("h", "doc_id").limit(n)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(batch_statistics(batch.column(0)).tolist(), pa.list_(pa.float64()))], ["x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(batch_statistics(batch.column(2)).tolist(), pa.list_(pa.float64()))], ["h", "doc_id", "x"])
 
-    found = [r["x"] for r in picked.select("text").mapInArrow(measure, "x array<double>").collect()]
+    measured = rows.select(h.alias("h"), "doc_id", "text").mapInArrow(measure, "h long, doc_id long, x array<double>")
+    found = [r["x"] for r in measured.orderBy("h", "doc_id", "x").limit(n).collect()]
     return np.array(found, float).reshape(-1, N_FEATURES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()) -> QualityModel:
     """A model from docs (doc_id, text) and the labels (doc_id, quality) of rows outside the held-out fold."""
-    known = labels.select("doc_id", "quality").where(~held_out(5, 0)).where("doc_id is not null")
-    n = known.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("q")).first()
-    p, q = n["p"] or 0, n["q"] or 0
-    prior = p / (p + q) if p and q else cfg.default_prior
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null").where(~held_out(5, 0))
+    trusted = known.groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good")).where("good").select("doc_id")
+    p = trusted.count()
     h = F.xxhash64(F.col("doc_id"), F.lit("positive"))
-    trusted = known.where("quality = 1").select("doc_id").distinct()
     if p > 2 * cfg.sample:  # only ids that the sample can hold go into the join
         trusted = trusted.where(h < int(-(2**63) + 2.0 * cfg.sample / p * 2**64))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     positive = _lowest(rows.join(trusted, "doc_id", "left_semi"), cfg.sample, "positive")
     unlabelled = _lowest(rows.where(~held_out(5, 0)), cfg.sample, "unlabelled")
-    return train(positive, unlabelled, prior, cfg)
+    return train(positive, unlabelled, estimate_prior(positive, unlabelled, cfg), cfg)
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -40,7 +41,7 @@ def test_languages_of_held_out_texts(spark):
 
 
 def test_backoff():
-    model = L.fit_rows([(lang, text) for lang, text in VOICES.items()])
+    model = L.fit_rows([(lang, text) for lang, text in VOICES.items()] * 2)
     (lang, _), (sure, share) = model.predict(["zwurtplisk", "strag bront"])
     assert lang == "bb" and sure == "bb" and share > 0.5
     assert model.word_scores("kato") == model.words["kato"]
@@ -94,10 +95,47 @@ def test_texts_in_no_language_are_not_accepted(spark):
     assert all(score >= 0.5 for _, score in model.predict(good + bad))  # the score alone tells nothing
     df = ship(spark).createDataFrame([(t,) for t in good + bad + ["", "12 34", None]], "text string")
     assert sorted(r.text for r in L.accepted(df, model).collect()) == sorted(good)
-    one = L.fit_rows([("aa", "only one text"), ("bb", "und noch einer")])  # nothing to measure what is usual
+    one = L.fit_rows([("aa", "only only one one"), ("bb", "und und noch noch")])  # nothing to measure what is usual
     assert one.accepts(["only words unheard of in this"], 0.0) == [True]
 
 
+def test_model_counts_and_predictions_are_the_plain_ones(spark):
+    """fit() against fit_rows() on all rows, and predict() against the formula."""
+    rows, g = spoken(300, 3)
+    docs = ship(spark).createDataFrame(rows + rows[:40], DOCS)  # repeated rows count once
+    model, plain = L.fit(docs), L.fit_rows([(lang, text) for _, text, lang, *_ in rows if lang])
+    assert model.languages == plain.languages and model.known == plain.known and model.usual == pytest.approx(plain.usual)
+    for found, want in [(model.words, plain.words), *((model.grams[o], plain.grams[o]) for o in model.orders)]:
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in found)
+    assert sum(map(len, plain.known)) > 0 and all(len(c) > 20 for c in plain.grams.values())
+    for text in [speak(g, "aa", 5), "zwurtplisk", "kato zz ü", "strag " * 100, "mili ouelle bront"]:
+        words = re.findall(r"[a-zü]+", text.lower())
+        total = [0.0] * len(model.languages)
+        for w in words:
+            scores = model.words.get(w)
+            for order in model.orders:
+                if scores is None:
+                    hits = [model.grams[order][x] for k in range(len(w) + 3 - order) if (x := f"<{w}>"[k : k + order]) in model.grams[order]]
+                    scores = tuple(sum(c) / len(hits) for c in zip(*hits)) if hits else None
+            total = [a + b for a, b in zip(total, scores or (0.0,) * len(total))]
+        e = np.exp(np.array(total) / len(words) * min(len(words), 12))
+        lang, score = model.predict([text])[0]
+        assert lang == model.languages[int(np.argmax(e))] and score == pytest.approx(e.max() / e.sum())
+
+
+def test_numerals_are_no_letters():
+    model = L.fit_rows([(lang, text) for lang, text in VOICES.items()] * 2)
+    assert [lang for lang, _ in model.predict(["½ ²", "① Ⅻ ³", "12_3 !", "½kato"])] == ["und", "und", "und", "aa"]
+
+
+def test_no_size_is_set():
+    """All words seen twice are in the model, however many there are."""
+    g = random.Random(2)
+    words = ["".join(g.choice("abcdefghij") for _ in range(9)) for _ in range(50_000)]
+    model = L.fit_rows([("aa", " ".join(words)), ("aa", " ".join(words)), ("bb", "und noch einer")])
+    assert set(words) == model.words.keys()
+
+
 def test_quality_of_held_out_texts(spark):
     rows, known, _ = written()
     docs, labels = ship(spark).createDataFrame(rows, DOCS), spark.createDataFrame(known, LABELS)
@@ -128,8 +166,14 @@ def test_quality_edge_rows(spark):
     assert len(got) == len(rows) + 6 and all(0 <= r.score <= 1 for r in got)
     assert len({r.score for r in got if r.doc_id in (1000, 1001)}) == 1
     assert Q.score(docs.limit(0), Q.fit(docs.limit(0), labels)).count() == 0
-    prior = Q.fit(docs, labels.where("quality = 0")).prior
-    assert {r.score for r in Q.score(docs, Q.fit(docs, labels.where("quality = 0"))).collect()} == {prior}
+    assert {r.score for r in Q.score(docs, Q.fit(docs, labels.where("quality = 0"))).collect()} == {Q.QualityConfig().default_prior}
+    # neither labels 0 nor ids with both labels have a part in the fit, nor has the order of rows
+    labels = labels.where("quality in (0, 1)")
+    model = Q.fit(docs, labels)
+    for other in (labels.where("quality = 1"), labels.where("quality = 1").repartition(3).union(labels.where("quality = 0"))):
+        assert Q.fit(docs.repartition(5), other).layers[0][0] == pytest.approx(model.layers[0][0], abs=1e-9)
+    both = labels.union(labels.where("quality = 0").selectExpr("doc_id", "1", "toxic"))
+    assert Q.fit(docs, both).layers[0][0] == pytest.approx(model.layers[0][0], abs=1e-9)
 
 
 def test_statistics_do_not_depend_on_the_batch():
@@ -138,3 +182,38 @@ def test_statistics_do_not_depend_on_the_batch():
     assert whole.shape == (43, Q.N_FEATURES)
     for k, t in enumerate(texts):
         assert Q.batch_statistics(pa.array([t]))[0] == pytest.approx(whole[k], abs=1e-12)
+
+
+def plain_statistics(text):
+    words = re.findall(r"[^ \t-\r]+", text)
+    raw, w = text.encode(), max(len(words), 1)
+    b = max(len(raw), 1)
+    count = lambda chars: sum(raw.count(c) for c in chars.encode())
+    symbols, letters = "#*$%&<>@^~=+_{}[]\\/", lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    again, follows = len(words) - len(set(words)), sum(x == y for x, y in zip(words, words[1:]))
+    threes = list(zip(words, words[1:], words[2:]))
+    same = len(threes) - len(set(threes))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    loud = sum(65 <= x <= 90 and 65 <= y <= 90 for x, y in zip(raw, raw[1:]))
+    tail = sum(letters(x) and chr(y) in symbols for x, y in zip(raw, raw[1:]))
+    high, space = sum(c >= 128 for c in raw), sum(c in b" \t\n\x0b\x0c\r" for c in raw)
+    out = [
+        np.log1p(len(words)) / 10, count(symbols) / w, count(upper) / b * 10, count(upper.lower()) / b, count("0123456789") / b * 10, count("!") / w, count("|") / w, high / b, tail / w, loud / w, count(".,") / w,
+        again / w, follows / w, same / w, count("\n") / w * 10, (b - space) / w / 10, follows**0.5 / 10, same**0.5 / 10, (count("!") + count("|") + count(symbols)) ** 0.5 / 10,
+    ]
+    return np.minimum(out, 10) if raw else np.zeros(Q.N_FEATURES)
+
+
+def test_statistics_are_the_plain_ones():
+    texts = [t for _, t, *_ in written(40)[0]] + ["", "a", "A!|B " * 300, "one\ntwo\n\n#tag naïve 12 | x | y", "same same same same", " \t"]
+    for found, text in zip(Q.batch_statistics(pa.array(texts)), texts):
+        assert found == pytest.approx(plain_statistics(text), abs=1e-9), text
+
+
+def test_prior_without_negatives():
+    g = np.random.default_rng(5)
+    for share in (0.3, 0.6, 0.9):
+        pos = g.normal(1, 1, (3000, Q.N_FEATURES))
+        n = int(2000 * share)
+        unlabelled = g.permutation(np.concatenate([g.normal(1, 1, (n, Q.N_FEATURES)), g.normal(-1, 1, (2000 - n, Q.N_FEATURES))]))
+        assert Q.estimate_prior(pos, unlabelled) == pytest.approx(share, abs=0.08)
