@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of its own only where the session names none, as in tests."""
+    """The folder that all executors share; one of its own only where the session names none and runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = f"file://{tempfile.mkdtemp(prefix='iterix-')}"
         spark.sparkContext.setCheckpointDir(own)
     return own
@@ -28,6 +30,13 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/iterix-{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, nor one that starts with it."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, computed once into the shared folder; later reads do not depend on the executors that made it."""
     shared_dir(df.sparkSession)

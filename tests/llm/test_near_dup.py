@@ -54,11 +54,11 @@ def brute(rows, cfg=N.NearDupConfig()):
     return {doc_id: least[find(k)] for k, (doc_id, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("slice_docs", [2048, 16])
-def test_against_all_pairs(spark, slice_docs):
+@pytest.mark.parametrize("slice_docs,elements", [(2048, 2_000_000), (16, 2_000_000), (2048, 3000)])
+def test_against_all_pairs(spark, slice_docs, elements):
     rows = corpus()
     df = ship(spark).createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(5)
-    got = {r.doc_id: r.class_id for r in N.near_duplicates(df, N.NearDupConfig(slice_docs=slice_docs)).collect()}
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(df, N.NearDupConfig(slice_docs=slice_docs, slice_elements=elements)).collect()}
     want = brute(rows)
     assert len(set(want.values())) < len(rows) - 60
     assert got == want
@@ -86,7 +86,33 @@ def test_edge_rows(spark):
     assert got == sorted(want, key=str)
     assert N.near_duplicates(df.limit(0)).count() == 0
     left = N.one_of_each(df)
-    assert left.columns == df.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(map(str, (1, 2, 3, 4, 6, 7, 9, 9, None, 10)))
+    assert left.columns == df.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(map(str, (1, 2, 3, 4, 6, 7, 9, 10)))
+
+
+def test_rows_that_stay(spark):
+    """By row: equal rows leave one, one id on two texts loses neither, and names of all kinds may be there."""
+    rows = [(1, "a b c d e f g", 0), (1, "a b c d e f g", 1), (2, "a b c d e f g", 2), (2, "quite another text here", 3), (None, "no id on this text", 4), (None, "no id on this text", 5), (3, "", 6), (3, None, 7), (None, "a b c d e f g", 8)]
+    df = ship(spark).createDataFrame(rows, "doc_id long, text string, gone_id long")
+    for c in ("gone_id", "digest", "stays_id", "node", "root", "stays", "a.b"):
+        named = df.withColumnRenamed("gone_id", c)
+        got = N.one_of_each(named)
+        assert got.columns == named.columns
+        assert sorted(((str(r[0]), r[1]) for r in got.collect()), key=str) == sorted([("1", rows[0][1]), ("2", rows[3][1]), ("None", rows[4][1]), ("3", ""), ("3", None)], key=str)
+
+
+def test_work_in_a_unit_of_near_copies_is_linear(monkeypatch):
+    """All texts are joined by one leader, and no pair is met through the index."""
+    g = np.random.default_rng(3)
+    base = g.integers(0, 2**32, 400, dtype=np.uint32)
+    factor = np.ones(1 << 16, np.float32)
+    asked = []
+    like = N._like_leader
+    monkeypatch.setattr(N, "_like_leader", lambda leader, flat, *a: asked.append(len(flat)) or like(leader, flat, *a))
+    for m in (500, 2000):
+        asked.clear()
+        sets = [np.sort(np.unique(np.concatenate([base[: 400 - k % 20], g.integers(0, 2**32, k % 20, dtype=np.uint32)]))) for k in range(m)]
+        links = N.verified(np.arange(m), sets, np.zeros(m, bool), factor, 0.8)
+        assert len(links) == m - 1 and {b for _, b in links} == set(range(1, m)) and len(asked) <= 8 and sum(asked) <= 8 * 400 * m
 
 
 def test_components(spark):
