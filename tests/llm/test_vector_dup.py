@@ -53,30 +53,81 @@ def test_against_all_pairs(spark, slice_vectors):
     assert sum(got[i][1] == c for i, (_, c) in want.items()) >= 0.99 * len(want)
 
 
-def test_recall_at_the_threshold():
-    g = np.random.default_rng(2)
-    x = V.unit(g.standard_normal((4000, 64)))
-    y = g.standard_normal((4000, 64))
+def test_dense_buckets_without_pairs(spark):
+    """The same links, whether pairs are emitted or vectors come to the bucket."""
+    rows = planted(np.random.default_rng(4))
+    df = ship(spark).createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = [sorted(tuple(r) for r in V.near_vectors(df, V.VectorDupConfig(dense=dense)).collect()) for dense in (0, 10**9)]
+    assert found[0] == found[1]
+
+
+def around(x, cosine, g):
+    """Unit vectors at given cosines of those of x."""
+    y = g.standard_normal(x.shape)
     y = V.unit(y - (y * x).sum(1, keepdims=True) * x)
-    near = 0.9501 * x + np.sqrt(1 - 0.9501**2) * y
-    a, _ = V.encode(x, CFG)
-    b, _ = V.encode(near, CFG)
-    assert (a == b).any(1).mean() > 0.985
+    return cosine[:, None] * x + np.sqrt(1 - cosine[:, None] ** 2) * y
+
+
+@pytest.mark.parametrize("n", [2000, 12000])
+def test_recall_of_planted_pairs(spark, n):
+    """Pairs between 0.93 and 0.97 in a table of their own: at the size of the table, its bits and bands."""
+    g = np.random.default_rng(n)
+    x = V.unit(g.standard_normal((n, 64)))
+    cosine = g.uniform(0.93, 0.97, n)
+    rows = [(2 * k, v.tolist()) for k, v in enumerate(x)] + [(2 * k + 1, v.tolist()) for k, v in enumerate(around(x, cosine, g))]
+    df = ship(spark).createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_vectors(df).collect()}
+    above = np.flatnonzero(cosine >= 0.95 + 1e-12)
+    assert all(got[2 * k] == got[2 * k + 1] == (0, 2 * k) or got[2 * k + 1][0] == 0 for k in np.flatnonzero(cosine < 0.95 - 1e-12))
+    assert np.mean([got[2 * k] == (1, 2 * k) == got[2 * k + 1] for k in above]) > 0.985
+
+
+def test_recall_at_the_threshold_is_the_same_at_every_size():
+    g = np.random.default_rng(2)
+    x = V.unit(g.standard_normal((2000, 64)))
+    near = around(x, np.full(2000, 0.9501), g)
+    for size in (1000, 10**5, 10**7):
+        of = V.shape(size, CFG)
+        a, b = (V.band_keys(V.encode(v, of, CFG)[0], of) for v in (x, near))
+        assert (a == b).any(1).mean() > 0.98
+        other = V.band_keys(V.encode(V.unit(g.standard_normal((2000, 64))), of, CFG)[0], of)
+        assert (a == other).sum() * size / 2000 < 4 * of.bands * 2000  # chance meetings of a vector in a band
 
 
 def test_estimates_are_unbiased_and_bounds_hold():
     g = np.random.default_rng(3)
-    x, q = V.unit(g.standard_normal((500, 64))), V.unit(g.standard_normal((200, 64)))
-    turn = V.rotations(64, CFG)[:, :64]
-    keys, factor = V.encode(x, CFG)
-    code = np.where(x @ turn > 0, 1, -1) / 8
-    estimate = (q @ turn) @ code.T / factor
-    error = estimate - q @ x.T
+    of = V.shape(1000, CFG)
+    x = V.unit(g.standard_normal((700, 64)))
+    signs, factor, turned, scale = V.encode(x, of, CFG)
+    code = np.unpackbits(signs, axis=1, count=64).astype(np.float32) * 2 - 1
+    estimate = (turned * scale[:, None])[500:] @ (code[:500] / 8 / factor[:500, None]).T
+    error = estimate - x[500:] @ x[:500].T
     assert abs(error.mean()) < 0.005
     bound = CFG.confidence * np.sqrt((1 - factor**2) / factor**2 / 63)
-    assert (np.abs(error) <= bound).mean() > 0.995
-    one = np.concatenate([V.encode(v[None], CFG)[0] for v in x])
-    assert (one == keys).all()
+    assert (np.abs(error) <= bound[:500] + 4 * scale[500:, None] / factor[:500]).mean() > 0.995
+    one = np.concatenate([V.encode(v[None], of, CFG)[0] for v in x])
+    assert (one == signs).all()
+
+
+def test_pairs_of_units():
+    """Small and large units, one slice and two: the pairs of the bound, written out."""
+    g = np.random.default_rng(6)
+    of, sizes = V.shape(1000, CFG), [1, 5, 64, 65, 600, 2]
+    start = np.cumsum([0, *sizes[:-1]])
+    n = sum(sizes)
+    x = V.unit(g.standard_normal((n, 16)) + 3 * g.standard_normal((1, 16)))
+    signs, factor, turned, scale = V.encode(x, of, CFG)
+    code = np.unpackbits(signs, axis=1, count=16).astype(np.float32) * 2 - 1
+    side, two = g.random(n) < 0.5, np.array([False, True, True, False, True, False])
+    i, j = V.hopeful(code, factor, turned, scale, start, side, two, CFG)
+    own, error = turned * scale[:, None], 3 * np.sqrt((1 - factor**2) / factor**2 / 15)
+    want = set()
+    for u, (lo, m) in enumerate(zip(start, sizes)):
+        for a in range(lo, lo + m):
+            for b in range(a + 1, lo + m):
+                if (not two[u] or side[a] != side[b]) and own[a] @ code[b] / 4 / factor[b] + error[b] + 2 * scale[a] / factor[b] >= 0.95:
+                    want.add((a, b))
+    assert len(want) > 50 and len(set(zip(i.tolist(), j.tolist())) ^ want) <= 2  # but for rounding at the threshold
 
 
 def test_edge_rows(spark):
