@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from iterix.catalogue.common import Entry, columns, holes, rounded
 from iterix.operators.groups import group_exec, run, run_exec
@@ -87,6 +88,20 @@ def _runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _EVENTS = {"x": lambda: holes("value", 90.0)}
+_ODD = {"x": lambda: F.when(F.col("value") >= 20, F.when(F.col("value") > 80, F.lit(float("nan"))).otherwise(F.col("value"))), "y": lambda: F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 7)}
+_ODD_SQL = "(SELECT *, CASE WHEN value < 20 THEN NULL WHEN value > 80 THEN 'nan'::DOUBLE ELSE value END AS x, CASE WHEN user_id % 3 > 0 THEN user_id % 7 END AS y FROM events)"
+
+
+def odd(source: str) -> object:
+    """A value for each event, of x with NULL and NaN and y with NULL."""
+    return by("events", source, _ODD, "event_type", order="event_id")
+
+
+def odd_sql(value: str) -> str:
+    """gt: whether x is above 50, NULL where x is missing."""
+    return f"SELECT event_type, event_id, {value} AS value FROM (SELECT *, CASE WHEN NOT isnan(x) THEN x > 50 END AS gt FROM {_ODD_SQL})"
+
+
 _E = "(SELECT *, CASE WHEN value <= 90 THEN value END AS v FROM events)"
 
 GROUPS: dict[str, Entry] = {
@@ -128,6 +143,12 @@ GROUPS: dict[str, Entry] = {
     "rows_compare": (parts("(x > 1200) + (x >= 1000) + (y < 10) * (y <= 20) + (y == 7) - (y != 8)"), parts_sql("((p_retailprice > 1200)::BIGINT + (p_retailprice >= 1000)::BIGINT + (p_size < 10)::BIGINT * (p_size <= 20)::BIGINT + (p_size = 7)::BIGINT - (p_size <> 8)::BIGINT)::BIGINT")),
     "rows_logic": (parts("(x > 1200 & y < 30) | !(y == 3)"), parts_sql("(p_retailprice > 1200 AND p_size < 30) OR NOT (p_size = 3)")),
     "rows_ifelse": (parts("ifelse(x > mean(x), x, -y)"), parts_sql("round(CASE WHEN p_retailprice > avg(p_retailprice) OVER (PARTITION BY p_brand) THEN p_retailprice ELSE -p_size END, 4)")),
+    "rows_compare_na": (odd("x > 50"), odd_sql("gt")),
+    "rows_equal_na": (odd("(x == x) & (y != 3)"), odd_sql("(CASE WHEN NOT isnan(x) THEN true END) AND y <> 3")),
+    "rows_logic_na": (odd("(x > 50 & y > 3) | !(y > 1)"), odd_sql("(gt AND y > 3) OR NOT (y > 1)")),
+    "rows_ifelse_na": (odd("ifelse(x > 50, y, -1)"), odd_sql("CASE WHEN gt THEN y WHEN NOT gt THEN -1 END::DOUBLE")),
+    "rows_power_na": (odd("x^0 + 1^x + y^0"), odd_sql("3::DOUBLE")),
+    "group_ifelse_first": (by("events", "ifelse(sum(x) > 5000, x, -x)", {"x": "value"}, "user_id", order="event_id"), "SELECT user_id, round(CASE WHEN sum(value) > 5000 THEN arg_min(value, event_id) ELSE -arg_min(value, event_id) END, 4) AS value FROM events GROUP BY user_id"),
     "rows_centre": (by("customer", "x - mean(x)", {"x": "c_acctbal"}, "c_nationkey", order="c_custkey"), "SELECT c_nationkey, c_custkey, round(c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS value FROM customer"),
     "rows_zscore": (by("customer", ZSCORE, {"x": "c_acctbal"}, "c_nationkey", order="c_custkey"), "SELECT c_nationkey, c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / sqrt(var_samp(c_acctbal) OVER w), 4) AS value FROM customer WINDOW w AS (PARTITION BY c_nationkey)"),
     "rows_seq_along": (by("events", "x * seq_along(x)", {"x": "value"}, "user_id", order="event_id"), "SELECT user_id, event_id, round(value * row_number() OVER (PARTITION BY user_id ORDER BY event_id), 4) AS value FROM events"),

@@ -63,7 +63,6 @@ def _all() -> dict[str, Function]:
         Function("numeric", ("length",), "other", "double", defaults=(("length", 0.0),), constant=("length",), rows=False),
         Function("numeric_along", ("along.with",), "same", "double", of=("along.with",), rows=False),
         Function("numeric_alongn", ("...",), "other", "double", rows=False),
-        Function("vcopy", ("x",), "same", "widest", of=("x",)),
         Function("<-", ("name", "value"), "same", "last", of=("value",)),
         Function("{", ("...",), "other", "last"),
         Function("if", ("test", "yes", "no"), "other", "widest"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iterix.operators.lowering import Data, bound, lower
+from iterix.operators.lowering import Data, bound, lower, named, settled
 from iterix.operators.ordered import run_ids
 from iterix.plans.compile import Stat
 from iterix.plans.tree import StatError
@@ -21,7 +21,8 @@ def _list(x: str | Sequence[str] | None) -> list[str]:
 
 def run(stat: Stat, df: DataFrame, data: Data, more: Mapping | Sequence | None = None, *, order: str | Sequence[str] | None = None, name: str = "value", lowering: str = "auto") -> DataFrame:
     """The statistic of all rows: one row if it is a single value, else one for each element."""
-    return lower(bound(stat, data, more), df, [], _list(order), None, name, lowering)
+    b, df, new = settled(bound(stat, data, more), df, _list(order))
+    return named(lower(b, df, [], [new[o] for o in _list(order)], None, "_value", lowering), new, name)
 
 
 def process_groups(df: DataFrame, by: str, *, strict: bool = True) -> DataFrame:
@@ -51,12 +52,15 @@ def group_exec(
         raise StatError("name the groups' columns")
     for k in keys:
         df = process_groups(df, k, strict=strict)
-    return lower(bound(stat, data, more), df, keys, _list(order), None, name, lowering)
+    b, df, new = settled(bound(stat, data, more), df, [*keys, *_list(order)])
+    return named(lower(b, df, [new[k] for k in keys], [new[o] for o in _list(order)], None, "_value", lowering), new, name)
 
 
 def run_exec(
     stat: Stat, df: DataFrame, data: Data, by: str, more: Mapping | Sequence | None = None, *, order: str | Sequence[str], name: str = "value", lowering: str = "auto"
 ) -> DataFrame:
     """As group_exec, for rows taken as sorted: neighbours in the order with equal keys are a group. Returns run (from 1), the key and the value."""
-    df = run_ids(process_groups(df, by), by, _list(order))
-    return lower(bound(stat, data, more), df, ["run", by], _list(order), None, name, lowering)
+    b, df, new = settled(bound(stat, data, more), process_groups(df, by), [by, *_list(order)])
+    order = [new[o] for o in _list(order)]
+    df = run_ids(df, new[by], order)
+    return named(lower(b, df, ["run", new[by]], order, None, "_value", lowering), new, name)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from iterix.functions import columns as C
 from iterix.operators.groups import _list
-from iterix.operators.lowering import Data, bound, is_single, lower
+from iterix.operators.lowering import Data, bound, is_single, lower, named, settled
 from iterix.operators.ordered import indexed, position, ranges
 from iterix.plans import rows
 from iterix.plans.compile import Bound, Stat
@@ -95,9 +95,9 @@ def rolli_exec(
     fixed = isinstance(n, int)
     if fixed and n < 0:
         raise StatError("n must be 0 or more")
-    kept = [F.col(o) for o in order] + ([] if fixed else [F.col(n).cast("bigint").alias("_n")])
-    b, df = _with_data(b, df, kept)
-    df, total = indexed(df, order)
+    b, df, new = settled(b, df, order, *([] if fixed else [F.col(f"`{n}`").cast("bigint").alias("_n")]))
+    order = list(new.values())
+    df, total = indexed(df.drop("_row"), order)
     size = F.lit(n).cast("bigint") if fixed else F.when(F.col("_n") >= 0, F.col("_n")).otherwise(F.raise_error(F.lit("n must be 0 or more")).cast("bigint"))
     first: Column
     if isinstance(align, int):
@@ -119,11 +119,11 @@ def rolli_exec(
         low, high = max(lo, -total), min(lo + n - 1, total)
         if low <= high and rows.measured_by(b, kinds, C.measured) is not None:
             runner = _running if n >= _WIDE and low == lo and high == lo + n - 1 else _framed
-            return runner(b, df, low, high, total, order, anchor, iteration, None if partial else clipped, name)
+            return named(runner(b, df, low, high, total, order, anchor, iteration, None if partial else clipped, "_value"), new, name)
     keyed = df.where(anchor).select(iteration, *order, (start.cast("double")).alias("_left"), (end.cast("double")).alias("_right"), clipped.alias("_clipped"))
     points = df.withColumn("_pos", F.col("_idx").cast("double")).drop(*order, "_n")
-    found = window_values(b, points, keyed, ["iter", *order, "_clipped"], "[]", name, ["_pos"], lowering)
-    return found.select("iter", *order, (F.col(name) if partial else F.when(~F.col("_clipped"), F.col(name))).alias(name))
+    found = window_values(b, points, keyed, ["iter", *order, "_clipped"], "[]", "_value", ["_pos"], lowering)
+    return named(found.select("iter", *order, (F.col("_value") if partial else F.when(~F.col("_clipped"), F.col("_value"))).alias("_value")), new, name)
 
 
 #: From so many rows on, a window is put together from running sums rather than gone through.
@@ -210,9 +210,9 @@ def _positioned(b: Bound, df: DataFrame, place: str | None, order: str | Sequenc
         return _with_data(b, df, [position(df, place).alias("_pos")])
     if order is None:
         raise StatError("name the column of positions, or the order's")
-    b, df = _with_data(b, df, [F.col(o) for o in _list(order)])
-    df, _ = indexed(df, _list(order))
-    return b, df.withColumn("_pos", F.col("_idx").cast("double")).drop(*_list(order), "_idx")
+    b, df, new = settled(b, df, _list(order))
+    df, _ = indexed(df.drop("_row"), list(new.values()))
+    return b, df.withColumn("_pos", F.col("_idx").cast("double")).drop(*new.values(), "_idx")
 
 
 def rollby_exec(
@@ -306,11 +306,43 @@ def rollat_exec(
     if width < 0:
         raise StatError("width must be 0 or more")
     b, df = _positioned(_checked(bound(stat, data, more), df), df, position, order)
+    if at is None and lowering != "arrays":
+        found = _at_rows(b, df, float(width), float(offset), bounds, name)
+        if found is not None:
+            return found
     points = _points(df, df.select("_pos") if at is None else at, "at")
     left = F.col("at") + F.lit(float(offset))
     return _valued(b, df, points.select("iter", left.alias("left"), (left + F.lit(float(width))).alias("right")), bounds, name, lowering)
 
 
+def _at_rows(b: Bound, df: DataFrame, width: float, offset: float, bounds: str, name: str) -> DataFrame | None:
+    """Windows at the rows' own places as frames over blocks of positions, where those are whole numbers and the aggregates are plain; else None.
+
+    A row goes to its own block and to those whose windows reach it."""
+    if bounds not in BOUNDS:
+        raise StatError(f"bounds must be one of {', '.join(BOUNDS)}")
+    if not rows.is_rowwise(b) or any(x != math.floor(x) or abs(x) >= 2.0**52 for x in (offset, width)):
+        return None
+    slots, kinds = rows.source_columns(df, b)
+    if rows.measured_by(b, kinds, C.measured) is None:
+        return None
+    pos = F.col("_pos")
+    span = df.agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.coalesce(F.min(~F.isnan(pos) & (pos == F.floor(pos)) & (F.abs(pos) < 2.0**52)), F.lit(False)).alias("whole"), F.count(F.when(pos.isNull(), 1)).alias("none")).first()
+    low, high = int(offset) + (bounds[0] == "("), int(offset + width) - (bounds[1] == ")")
+    if not span["whole"] or span["none"] or low > high:
+        return None
+    slots, _ = indexed(slots.select("_pos", *[rows.slot(p) for p in kinds]), ["_pos"])
+    at = F.col("_pos").cast("bigint")
+    block = max(max(high, 0) - min(low, 0) + 1, -(-int(span["hi"] - span["lo"] + 1) // (4 * ranges(df))))
+    of = lambda c: F.floor((F.least(F.greatest(c, F.lit(int(span["lo"]))), F.lit(int(span["hi"]))) - int(span["lo"])) / block).cast("bigint")
+    spread = slots.withColumn("_at", at).withColumn("_own", of(F.col("_at")))
+    spread = spread.withColumn("_block", F.explode(F.sequence(of(F.col("_at") - max(high, 0)), of(F.col("_at") - min(low, 0)))))
+    frame = Window.partitionBy("_block").orderBy("_at").rangeBetween(low, high)
+    out = spread.withColumn("_value", rows.measured_by(b, kinds, C.over(frame))).where("_own = _block")
+    left = F.col("_pos") + F.lit(offset)
+    return out.select(F.col("_idx").alias("iter"), left.alias("left"), (left + F.lit(width)).alias("right"), F.col("_value").alias(name))
+
+
 def rollbw_exec(
     stat: Stat, df: DataFrame, data: Data, left: Sequence[float] | DataFrame, right: Sequence[float] | None = None, position: str | None = None, bounds: str = "[)", more: Mapping | Sequence | None = None, *, order: str | Sequence[str] | None = None, name: str = "value", lowering: str = "auto"
 ) -> DataFrame:

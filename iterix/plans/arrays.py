@@ -126,7 +126,7 @@ class Arrays:
         f = FUNCTIONS[node.fn]
         constants = {n: a.value for n, a in zip(node.names, node.args) if n in f.constant}
         args = [self.value(a) for n, a in zip(node.names, node.args) if n not in f.constant]
-        if node.fn not in ("c", "length", "vcopy", "sum", "all", "any"):
+        if node.fn not in ("c", "length", "sum", "all", "any"):
             args = [a if isinstance(n, (Name, Const)) else self.keep(a) for a, n in zip(args, [x for k, x in zip(node.names, node.args) if k not in f.constant])]
         kinds = dict(zip([p for p in f.params if p not in f.constant], [a.kind for a in args]))
         col, array, length = self.call(node.fn, args, constants)
@@ -164,8 +164,6 @@ class Arrays:
         if fn in ("uplus", "uminus", "!", "square"):
             f = lambda x: _number(C.unary(fn, value(x, args[0].kind)))
             return (F.transform(args[0].col, f), True, args[0].length) if args[0].array else (f(args[0].col), False, 1)
-        if fn == "vcopy":
-            return args[0].col, args[0].array, args[0].length
         if FUNCTIONS[fn].aggregate:
             return self.aggregate(fn, args, bool(constants.get("na.rm", False))), False, 1
         return getattr(self, {"[": "subset"}.get(fn, fn))(*args, **{k.replace(".", "_"): v for k, v in constants.items()})

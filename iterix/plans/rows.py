@@ -34,6 +34,22 @@ class Term:
     nan: bool = field(default=True, compare=False)
 
 
+class NeedsVectors(StatError):
+    """The statistic has no row-by-row form after all."""
+
+
+def shown(t: Term) -> str:
+    """A term as text."""
+    if t.fn == "column":
+        return str(t.of)
+    if t.fn == "constant":
+        return str(t.of[2])
+    if t.fn in FUNCTIONS and len(t.args) == 2 and not t.fn.isalpha():
+        return f"({shown(t.args[0])} {t.fn} {shown(t.args[1])})"
+    fn = {"alone": t.of[0] if isinstance(t.of, tuple) else "", "uminus": "-", "uplus": "+"}.get(t.fn, t.fn)
+    return f"{fn}({', '.join(map(shown, t.args))})"
+
+
 @dataclass(frozen=True)
 class Unequal:
     """What a name stands for after branches that give it different lengths; using it is an error."""
@@ -136,13 +152,11 @@ class Terms:
         kinds = dict(zip([p for p in f.params if p not in f.constant], [a.kind for a in args]))
         kind = result_kind(f, kinds, [a.kind for a in args])
         level, rows = max(a.level for a in args), any(a.rows for a in args)
-        if node.fn == "vcopy":
-            return args[0]
         if node.fn == "seq_along":
             return Term("seq_along", (), True, "integer", 0, nan=False) if rows else self.constant(1)
         if node.fn == "ifelse" and rows and not args[0].rows:
-            # as long as the test: the first of the others would be needed
-            raise StatError("`ifelse` of a single test and longer values is not supported")
+            # as long as the test: the first of the others is needed
+            raise NeedsVectors("`ifelse` of a single test and longer values needs their vectors")
         return Term(node.fn, tuple(args), rows, kind, level)
 
     def aggregate(self, fn: str, args: list[Term], na_rm: bool) -> Term:
@@ -288,7 +302,10 @@ def _aggregate(t: Term, columns: dict[Term, C.Value], present: Column | None, or
 
 def measured_by(bound: Bound, kinds: dict[str, str], measure: C.Measure) -> Column | None:
     """The statistic of what measure measures, or None if it isn't one value of plain aggregates."""
-    root = Terms(bound, kinds).value(bound.tree)
+    try:
+        root = Terms(bound, kinds).value(bound.tree)
+    except NeedsVectors:
+        return None
     inner: dict[Term, None] = {}
     outer: dict[Term, None] = {}
     _aggregates(root, False, inner, outer)
