@@ -41,12 +41,19 @@ from pyspark.sql import functions as F
 from iterix.llm._links import kept_rows, stored
 from iterix.session import ship
 
-#: Word characters that are numerals and no letters.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: Letters, and numerals that are no digits, such as one half.
+_RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, lower-cased."""
+    found = _RUN.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 @dataclass(frozen=True)
 class LanguageConfig:
     sample_docs: int = 600
@@ -113,7 +120,7 @@ class LanguageModel:
     def _judged(self, texts: list[str | None]) -> Iterator[tuple[int, float, np.ndarray | None]]:
         """Place of the language, score and rows of the words of each text; no words, no rows."""
         for text in texts:
-            words = _WORD.findall(text.lower()) if text and self.languages else []
+            words = words_of(text) if text and self.languages else []
             if not words:
                 yield 0, 0.0, None
                 continue
@@ -188,7 +195,7 @@ def fit(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> Language
         names = ["lang", "h", "tie", "word", "n"]
         for batch in batches:
             for lang, text, h, tie in zip(*(c.to_pylist() for c in batch.columns)):
-                found = Counter(_WORD.findall(text.lower()))
+                found = Counter(words_of(text))
                 if found:
                     columns = [[lang] * len(found), [h] * len(found), [tie] * len(found), list(found), list(found.values())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names)
@@ -234,7 +241,7 @@ def fit(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> Language
 def fit_rows(rows: list[tuple[str, str]], cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """As fit, from a list of (language, text), all of which are used; written out plainly."""
     languages = sorted({lang for lang, _ in rows})
-    texts = {x: [c for lang, text in rows if lang == x and (c := Counter(_WORD.findall(text.lower())))] for x in languages}
+    texts = {x: [c for lang, text in rows if lang == x and (c := Counter(words_of(text)))] for x in languages}
     words = [sum(texts[x], Counter()) for x in languages]
     grams = {order: [Counter() for _ in languages] for order in cfg.orders}
     for order in cfg.orders:
