@@ -11,10 +11,11 @@ that are in none of the languages, so `accepted` also wants words that the chose
 language is known to have: half the share usual in the language's own texts, measured
 on words that another text of the sample holds.
 
-Bound, a parameter: `sample_docs` training documents for each language, those of the lowest
+Bounds, parameters: `sample_docs` training documents for each language, those of the lowest
 hash of id and text. Their words are counted on the executors; words and n-grams seen
 `least_seen` times or more are in the model, the rest only through their n-grams, so the model
-follows the sample's vocabulary and no size is set. Every text is predicted whole, in one
+follows the sample's vocabulary and no size is set. Up to `few_languages` the languages' sizes
+are broadcast; more are joined by salted keys. Every text is predicted whole, in one
 pass without a shuffle.
 
 Words are runs of letters (Unicode category L), lower-cased, so digits, numerals such as
@@ -64,6 +65,8 @@ class LanguageConfig:
     seed: int = 5
     least_familiar: float = 0.5  # of the median of a language's own texts
     doubt_words: int = 5
+    few_languages: int = 4096  # up to so many, their sizes are broadcast
+    salts: int = 64
 
 
 _SEEN_LIMIT = 300_000
@@ -180,10 +183,16 @@ def _sample(labelled: DataFrame, cfg: LanguageConfig) -> DataFrame:
     """lang, text, h, tie of the sample_docs documents of each language with the lowest hashes."""
     from pyspark.sql import Window
 
-    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(cfg.seed)).alias("h"), F.xxhash64("text").alias("tie"))
+    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(cfg.seed)).alias("h"), F.xxhash64("text").alias("tie"))
     size = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    few = size.limit(cfg.few_languages + 1).collect()
     # a threshold first, so that few texts move; then a top-k that starts in every task, so no language lands in one
-    near = rows.join(size, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size") <= 2.0 * cfg.sample_docs + 100)
+    if len(few) <= cfg.few_languages:
+        sized = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(few, size.schema)), "lang")
+    else:
+        salts = F.sequence(F.lit(0), F.lit(cfg.salts - 1))
+        sized = rows.withColumn("salt", F.pmod("h", F.lit(cfg.salts)).cast("int")).join(size.withColumn("salt", F.explode(salts)), ["lang", "salt"])
+    near = sized.where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size") <= 2.0 * cfg.sample_docs + 100)
     order = Window.partitionBy("lang").orderBy("h", "tie")
     return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= cfg.sample_docs).select("lang", "text", "h", "tie")
 
@@ -205,6 +214,7 @@ def fit(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> Language
         for batch in batches:
             found: Counter = Counter()
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                found[lang, 0, word] += n
                 for order in cfg.orders:
                     for g in _marked_grams(word, order):
                         found[lang, order, g] += n
@@ -212,28 +222,27 @@ def fit(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> Language
                 columns = [*zip(*found), list(found.values())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names)
 
+    from pyspark.sql import Window
+
     held = stored(_sample(labelled, cfg).mapInArrow(count, "lang string, h long, tie long, word string, n long").distinct())
-    words = stored(held.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
-    grams = stored(words.select("lang", "word", "n").mapInArrow(cut, "lang string, len int, gram string, n long").groupBy("lang", "len", "gram").agg(F.sum("n").alias("n")))
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language of the sample
-    languages = sorted(totals)
+    words = held.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    grams = stored(words.mapInArrow(cut, "lang string, len int, gram string, n long").groupBy("lang", "len", "gram").agg(F.sum("n").alias("n")))  # words have len 0
+    totals = {(r["lang"], r["len"]): r["n"] for r in grams.groupBy("lang", "len").agg(F.sum("n").alias("n")).collect()}  # a row a language and length
+    languages = sorted({lang for lang, _ in totals})
     if not languages:
         return LanguageModel([])
-    gram_totals = {(r["lang"], r["len"]): r["n"] for r in grams.groupBy("lang", "len").agg(F.sum("n").alias("n")).collect()}
-    often = words.groupBy("word").agg(F.sum("n").alias("whole")).where(F.col("whole") >= cfg.least_seen)
-    often_grams = grams.groupBy("len", "gram").agg(F.sum("n").alias("whole")).where(F.col("whole") >= cfg.least_seen)
-    by_word = {lang: Counter() for lang in languages}
-    for r in words.join(often, "word").select("lang", "word", "n").collect():
-        by_word[r["lang"]][r["word"]] = r["n"]
-    by_gram = {order: {lang: Counter() for lang in languages} for order in cfg.orders}
-    for r in grams.join(often_grams, ["len", "gram"]).select("lang", "len", "gram", "n").collect():
-        by_gram[r["len"]][r["lang"]][r["gram"]] = r["n"]
+    often = grams.groupBy("len", "gram").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"), F.sum("n").alias("whole")).where(F.col("whole") >= cfg.least_seen)
+    by_gram = {order: {lang: Counter() for lang in languages} for order in (0, *cfg.orders)}
+    for order, g, langs, ns in zip(*(c.to_pylist() for c in often.select("len", "gram", "langs", "ns").toArrow().columns)):
+        for lang, n in zip(langs, ns):
+            by_gram[order][lang][g] = n
     # the share of a text's words that another text of the language has: its median
-    share = held.join(words.where("docs > 1").select("lang", "word", F.lit(1).alias("known")), ["lang", "word"], "left").groupBy("lang", "h", "tie").agg((F.sum(F.col("n") * F.coalesce("known", F.lit(0))) / F.sum("n")).alias("share"))
+    known = F.when(F.count(F.lit(1)).over(Window.partitionBy("lang", "word")) > 1, F.col("n")).otherwise(0)
+    share = held.withColumn("known", known).groupBy("lang", "h", "tie").agg((F.sum("known") / F.sum("n")).alias("share"))
     usual = {r["lang"]: r["usual"] for r in share.groupBy("lang").agg(F.percentile("share", 0.5).alias("usual")).collect()}
     return _model(
-        languages, [by_word[x] for x in languages], [totals[x] for x in languages],
-        {o: [by_gram[o][x] for x in languages] for o in cfg.orders}, {o: [gram_totals.get((x, o), 0) for x in languages] for o in cfg.orders},
+        languages, [by_gram[0][x] for x in languages], [totals[x, 0] for x in languages],
+        {o: [by_gram[o][x] for x in languages] for o in cfg.orders}, {o: [totals.get((x, o), 0) for x in languages] for o in cfg.orders},
         [usual[x] for x in languages], cfg,
     )
 

@@ -105,6 +105,8 @@ def test_model_counts_and_predictions_are_the_plain_ones(spark):
     docs = ship(spark).createDataFrame(rows + rows[:40], DOCS)  # repeated rows count once
     model, plain = L.fit(docs), L.fit_rows([(lang, text) for _, text, lang, *_ in rows if lang])
     assert model.languages == plain.languages and model.known == plain.known and model.usual == pytest.approx(plain.usual)
+    many = L.fit(docs, L.LanguageConfig(few_languages=0))  # sizes by salted keys
+    assert (many.words, many.grams, many.usual) == (model.words, model.grams, model.usual)
     for found, want in [(model.words, plain.words), *((model.grams[o], plain.grams[o]) for o in model.orders)]:
         assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in found)
     assert sum(map(len, plain.known)) > 0 and all(len(c) > 20 for c in plain.grams.values())
