@@ -7,10 +7,12 @@ ids) and `.has` (a byte for each document: 0 where its id is null). Parts follow
 other in ascending document order; `parts`, returned by write(), lists them with the base
 of each, a prefix sum of the parts' totals.
 
-write() encodes first and stores the ids once in the shared folder, so that ids travel,
-not texts. Rows are dealt out by ranges of (doc_id, hash of the text, place in the stored
-table), so neither a long document list nor one row repeated any number of times lands in
-one task; the number of parts follows the number of ids. A task writes under a name of its
+write() deals texts out by ranges of (doc_id, hash of the text, place in the table) and
+encodes each range as it writes it, so no ids are stored or shuffled besides the files. So
+neither a long document list nor one row repeated any number of times lands in one task;
+the number of parts follows the bytes of the texts. Places are those of a table as it is
+read, which are the same when a lost executor's task runs again: docs must be read from
+files or a checkpoint, else where equal rows go could change between attempts. A task writes under a name of its
 own attempt; the list of parts, stored in the shared folder, names the files of the attempt
 that counted, so lost or doubled tasks leave no trace in the result. read() memory-maps
 each part where the file system is local or mounted, reads it by ranges elsewhere, and
@@ -47,70 +49,45 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _binary(column: pa.Array) -> tuple[np.ndarray, memoryview]:
-    """Sizes and joined bytes of a binary column."""
-    if not len(column):
-        return np.zeros(0, np.int64), memoryview(b"")
-    _, offsets, data = column.buffers()
-    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    ends = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.diff(ends), memoryview(data)[ends[0] : ends[-1]] if data is not None else memoryview(b"")
-
-
-def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
-    """doc_id, tie (a hash of the text), width (bytes of an id) and ids of every row of docs (doc_id, text)."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _bpe.encoder(tokenizer, kind)
-        kind_of = np.dtype("<u4" if enc.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
-        for batch in batches:
-            for first, run in _bpe.runs(batch.column(2)):
-                ids, n = enc.encode(run, end_id)
-                ends = np.concatenate([[0], np.cumsum(n)]) * kind_of.itemsize
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(ids.astype(kind_of))])
-                keys = [batch.column(k).slice(first, len(n)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(n), kind_of.itemsize, np.int32)), data.cast(pa.binary())], ["doc_id", "tie", "width", "ids"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(encode, "doc_id long, tie long, width int, ids binary")
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1) -> list[dict]:
     """Write docs (doc_id, text); the list of parts, in order: stem, base, n_docs, n_ids, width."""
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        enc = _bpe.encoder(tokenizer, kind)
+        kind_of = np.dtype("<u4" if enc.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         part = TaskContext.get().partitionId()
-        files, n_docs, n_ids, width = None, 0, 0, 2
+        files, n_docs, n_ids = None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if files is None:
                 system, path = _filesystem(folder)
                 system.create_dir(path, recursive=True)
-                stem, width = f"part-{part:06d}-{uuid.uuid4().hex}", batch.column(1)[0].as_py()
+                stem = f"part-{part:06d}-{uuid.uuid4().hex}"
                 files = [system.open_output_stream(f"{path}/{stem}.{x}") for x in ("ids", "off", "doc", "has")]
                 files[1].write(np.zeros(1, "<i8").tobytes())
-            sizes, data = _binary(batch.column(2))
-            ends = n_ids + np.cumsum(sizes) // width
-            ids = batch.column(0)
-            files[0].write(data)
-            files[1].write(ends.astype("<i8").tobytes())
-            files[2].write(np.asarray(ids.fill_null(0)).astype("<i8").tobytes())
-            files[3].write(np.asarray(ids.is_valid()).astype(np.uint8).tobytes())
-            n_docs, n_ids = n_docs + batch.num_rows, int(ends[-1])
+            for _, run in _bpe.runs(batch.column(1)):
+                ids, n = enc.encode(run, end_id)
+                files[0].write(ids.astype(kind_of).tobytes())
+                files[1].write((n_ids + np.cumsum(n)).astype("<i8").tobytes())
+                n_ids += int(len(ids))
+            names = batch.column(0)
+            files[2].write(np.asarray(names.fill_null(0)).astype("<i8").tobytes())
+            files[3].write(np.asarray(names.is_valid()).astype(np.uint8).tobytes())
+            n_docs += batch.num_rows
         if files:
             for f in files:
                 f.close()
-            values = (part, stem, n_docs, n_ids, width)
+            values = (part, stem, n_docs, n_ids, kind_of.itemsize)
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["part", "stem", "n_docs", "n_ids", "width"])
 
-    rows = stored(encoded(docs, tokenizer, kind, end_id))
-    whole = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    whole = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // PART_BYTES))
     keys = ["doc_id", "tie", "place"]
-    ordered = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "width", "ids")
+    ordered = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     parts = stored(ordered.mapInArrow(save, "part long, stem string, n_docs long, n_ids long, width long"))
     listed, base = [], 0
     for row in sorted(parts.collect(), key=lambda r: r["part"]):  # one row a part
