@@ -298,10 +298,19 @@ class Encoder:
 
     def _units_ids(self, units: list) -> tuple[np.ndarray, np.ndarray]:
         cut = [self.pre_tokens(u) for u in units]
+        alone = np.fromiter((len(c) == 1 and type(c[0]) is str for c in cut), bool, len(cut))
+        one, rest = np.flatnonzero(alone), np.flatnonzero(~alone)
+        n = np.zeros(len(cut), np.int64)
+        ids, n[one] = self.merged([cut[k][0] for k in one.tolist()])  # a table of these would hold what that of units holds
+        cut = [cut[k] for k in rest.tolist()]
         slots = self.parts.slots([t for c in cut for t in c])
         ends = np.concatenate([[0], np.cumsum(self.parts.length[slots])])
         last = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
-        return self.parts.ids(slots), np.diff(ends[last])
+        n[rest] = np.diff(ends[last])
+        order = np.concatenate([one, rest])
+        begin = np.zeros(len(n), np.int64)
+        begin[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate([ids, self.parts.ids(slots)])[spans(begin, n)], n
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, each followed by end_id, how many each has) of a string column without nulls."""
