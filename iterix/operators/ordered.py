@@ -30,16 +30,24 @@ def ranges(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def quantiles(df: DataFrame, column: str, n: int) -> list[float]:
+    """Up to n - 1 places that cut a column's numbers into about equal shares."""
+    cuts = sorted(set(df.approxQuantile(column, [k / n for k in range(1, n)], 1 / (20 * n)))) if n > 1 else []
+    return [c for c in cuts if c == c]
+
+
+def between_cuts(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
+    """df with a column name: between which of the cuts a number is, from 0; NaN comes after all, and NULL with it."""
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=column, outputCol=name, handleInvalid="keep")
+    return split.transform(df).withColumn(name, F.coalesce(F.col(name), F.lit(len(cuts) + 1.0)).cast("int"))
+
+
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:
     """df with a column _range: rows of a lower range come before those of a higher one. Ties share a range."""
-    n = ranges(df)
     df = df.withColumn("_at", position(df, order[0]))
-    cuts = sorted(set(df.approxQuantile("_at", [k / n for k in range(1, n)], 1 / (20 * n)))) if n > 1 else []
-    cuts = [c for c in cuts if c == c]
-    if not cuts:
-        return df.withColumn("_range", F.lit(0))
-    split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_at", outputCol="_range", handleInvalid="keep")
-    return split.transform(df).withColumn("_range", F.coalesce(F.col("_range"), F.lit(len(cuts) + 1.0)).cast("int"))
+    return between_cuts(df, "_at", quantiles(df, "_at", ranges(df)), "_range")
 
 
 def _sorted(df: DataFrame, order: list[str]) -> Window:

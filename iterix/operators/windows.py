@@ -6,9 +6,10 @@ frames, over ranges of rows that each carry a margin from their neighbours, so t
 task holds all rows. All others are a range join: positions are cut into cells of
 about a window's width, a window meets the cells that it reaches, and the cell is the
 join's key; the statistic is then a grouping by window, with partial sums before the
-exchange. Windows at regular steps whose width is a multiple of the step need no join:
-rows are summed up by step once, and windows add up steps. Empty windows stay: the
-function runs on vectors of no elements.
+exchange. Windows of one width whose statistic has plain aggregates need no join: running
+aggregates over pieces of positions, read at the windows' ends, make them up. Nor do those at
+regular steps whose width is a multiple of the step: rows are summed up by step once, and
+windows add up steps. Empty windows stay: the function runs on vectors of no elements.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from iterix.functions import columns as C
 from iterix.operators.groups import _list
 from iterix.operators.lowering import Data, bound, is_single, lower, named, settled
-from iterix.operators.ordered import indexed, position, ranges
+from iterix.operators.ordered import between_cuts, indexed, position, quantiles, ranges
 from iterix.plans import rows
 from iterix.plans.compile import Bound, Stat
 from iterix.plans.tree import StatError
@@ -246,7 +247,7 @@ def rollby_exec(
         slots, kinds = rows.source_columns(df, b)
         if rows.measured_by(b, kinds, C.measured) is not None:
             return _paned(b, slots, kinds, base, float(by), panes, count, windows, name)
-    return _valued(b, df, windows, bounds, name, lowering)
+    return _valued(b, df, windows, float(width), bounds, name, lowering)
 
 
 def _panes(base: float, by: float, width: float, bounds: str, count: int) -> int:
@@ -283,11 +284,83 @@ def _paned(b: Bound, df: DataFrame, kinds: dict[str, str], base: float, by: floa
     return both.withColumn(name, value).where(F.col("iter").isNotNull()).select("iter", "left", "right", name)
 
 
-def _valued(b: Bound, df: DataFrame, windows: DataFrame, bounds: str, name: str, lowering: str) -> DataFrame:
+def _valued(b: Bound, df: DataFrame, windows: DataFrame, width: float | None, bounds: str, name: str, lowering: str) -> DataFrame:
+    """The statistic in windows (iter, left, right), all of them width wide if that is given."""
+    if bounds not in BOUNDS:
+        raise StatError(f"bounds must be one of {', '.join(BOUNDS)}")
+    found = _swept(b, df, windows, width, bounds, name) if width is not None and lowering != "arrays" else None
+    if found is not None:
+        return found
     windows = windows.select("iter", "left", "right", F.col("left").alias("_left"), F.col("right").alias("_right"))
     return window_values(b, df, windows, ["iter", "left", "right"], bounds, name, ["_pos"], lowering)
 
 
+def _swept(b: Bound, df: DataFrame, windows: DataFrame, width: float, bounds: str, name: str) -> DataFrame | None:
+    """Windows of one width in a number of steps that does not depend on the rows in them, or None if the aggregates aren't plain.
+
+    Positions are cut into pieces narrower than a window, so that a window's ends are in different pieces, and at quantiles,
+    so that no piece has more than its share. A window is the end of its first piece, whole pieces, and the start of its last;
+    running aggregates of a piece from both sides are read at marks that windows put there. Nothing is ever subtracted.
+    """
+    if not rows.is_rowwise(b):
+        return None
+    slots, kinds = rows.source_columns(df, b)
+    if rows.measured_by(b, kinds, C.measured) is None:
+        return None
+    span = df.agg(F.min("_pos").alias("lo"), F.max("_pos").alias("hi")).first()
+    lo, hi = span["lo"], span["hi"]
+    # a window must be much wider than the distance of neighbouring doubles, or its ends may share a piece
+    if lo is None or not all(map(math.isfinite, (lo, hi, width))) or 0 < width < 64 * math.ulp(max(abs(lo), abs(hi)) + width):
+        return None
+    met = windows.where((F.col("left") <= hi) & (F.col("right") >= lo)).select(F.col("left").alias("_key"), F.col("right").alias("_end")).distinct()
+    cuts = quantiles(df.select("_pos").union(met.select("_key")), "_pos", 2 * ranges(df))
+
+    def piece(df: DataFrame, column: str, name: str) -> DataFrame:
+        grid = F.floor((F.col(column) - F.lit(lo)) / F.lit(width * 0.875 or 1.0))
+        return between_cuts(df, column, cuts, "_cut").withColumn(name, (grid + F.col("_cut")).cast("bigint")).drop("_cut")
+
+    parts: list[tuple[str, Column]] = []
+
+    def measure(kind: str, c: Column) -> Column:
+        k = next((k for k, (of, d) in enumerate(parts) if of == kind and str(d) == str(c)), len(parts))
+        if k == len(parts):
+            parts.append((kind, c))
+        three = [F.col(f"_{side}{k}") for side in ("z", "w", "a")]
+        if kind == "max":
+            return F.greatest(*three)
+        total = sum((F.coalesce(c, F.lit(0)) for c in three[1:]), F.coalesce(three[0], F.lit(0)))
+        return total if kind == "count" else F.when(F.coalesce(*three).isNotNull(), total)
+
+    value = rows.measured_by(b, kinds, measure)
+    merged = lambda k, of="_m": (F.max if parts[k][0] == "max" else F.sum)(f"{of}{k}")
+    each = range(len(parts))
+    points = slots.where("_pos is not null").groupBy("_pos").agg(*[C.measured(kind, c).alias(f"_m{k}") for k, (kind, c) in enumerate(parts)])
+    if width == 0:  # only the rows at one position, or none
+        none = [F.lit(None).alias(f"_{side}{k}") for k in each for side in ("z", "a")]
+        read = points.where(F.lit(bounds == "[]")).select(F.col("_pos").alias("_at"), *[F.col(f"_m{k}").alias(f"_w{k}") for k in each], *none)
+        return windows.join(read, F.col("left") == F.col("_at"), "left").select("iter", "left", "right", value.alias(name))
+    points, met = piece(points, "_pos", "_piece"), piece(piece(met, "_key", "_first"), "_end", "_last")
+    totals = points.groupBy("_piece").agg(*[merged(k).alias(f"_w{k}") for k in each])
+    pairs = met.where("_last - _first > 1").select("_first", "_last").distinct()
+    between = pairs.withColumn("_piece", F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1))).join(totals, "_piece")
+    between = between.groupBy("_first", "_last").agg(*[merged(k, "_w").alias(f"_w{k}") for k in each])
+
+    # both directions in one order: backwards, positions are negative; a mark stands after the rows that its window holds
+    def sides(sign: int, end: str, at: str, closed: bool) -> DataFrame:
+        place = lambda c: F.lit(0.0) + c if sign > 0 else F.lit(0.0) - c
+        held = points.select("_piece", F.lit(sign).alias("_sign"), place(F.col("_pos")).alias("_place"), F.lit(1).alias("_rank"), *[f"_m{k}" for k in each])
+        marks = met.select(F.col(end).alias("_piece"), F.lit(sign).alias("_sign"), place(F.col(at)).alias("_place"), F.lit(2 if closed else 0).alias("_rank"), "_key", "_end", "_first", "_last")
+        return held.unionByName(marks, allowMissingColumns=True)
+
+    both = sides(-1, "_first", "_key", bounds[0] == "[").unionByName(sides(1, "_last", "_end", bounds[1] == "]"))
+    up = Window.partitionBy("_piece", "_sign").orderBy("_place", "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    read = both.withColumns({f"_r{k}": merged(k).over(up) for k in each}).where("_rank <> 1")
+    at_ends = [F.max(F.when(F.col("_sign") == sign, F.col(f"_r{k}"))).alias(f"_{side}{k}") for k in each for side, sign in (("z", -1), ("a", 1))]
+    read = read.groupBy("_key", "_end", "_first", "_last").agg(*at_ends).join(between, ["_first", "_last"], "left")
+    read = read.select(F.col("_key").alias("left"), F.col("_end").alias("right"), *[f"_{side}{k}" for k in each for side in ("z", "w", "a")])
+    return windows.join(read, ["left", "right"], "left").select("iter", "left", "right", value.alias(name))
+
+
 def _points(df: DataFrame, values: Sequence[float] | DataFrame, name: str) -> DataFrame:
     """(iter, name): a list in its order, or a DataFrame's only column, or its columns iter and name."""
     if isinstance(values, DataFrame):
@@ -306,41 +379,9 @@ def rollat_exec(
     if width < 0:
         raise StatError("width must be 0 or more")
     b, df = _positioned(_checked(bound(stat, data, more), df), df, position, order)
-    if at is None and lowering != "arrays":
-        found = _at_rows(b, df, float(width), float(offset), bounds, name)
-        if found is not None:
-            return found
     points = _points(df, df.select("_pos") if at is None else at, "at")
     left = F.col("at") + F.lit(float(offset))
-    return _valued(b, df, points.select("iter", left.alias("left"), (left + F.lit(float(width))).alias("right")), bounds, name, lowering)
-
-
-def _at_rows(b: Bound, df: DataFrame, width: float, offset: float, bounds: str, name: str) -> DataFrame | None:
-    """Windows at the rows' own places as frames over blocks of positions, where those are whole numbers and the aggregates are plain; else None.
-
-    A row goes to its own block and to those whose windows reach it."""
-    if bounds not in BOUNDS:
-        raise StatError(f"bounds must be one of {', '.join(BOUNDS)}")
-    if not rows.is_rowwise(b) or any(x != math.floor(x) or abs(x) >= 2.0**52 for x in (offset, width)):
-        return None
-    slots, kinds = rows.source_columns(df, b)
-    if rows.measured_by(b, kinds, C.measured) is None:
-        return None
-    pos = F.col("_pos")
-    span = df.agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.coalesce(F.min(~F.isnan(pos) & (pos == F.floor(pos)) & (F.abs(pos) < 2.0**52)), F.lit(False)).alias("whole"), F.count(F.when(pos.isNull(), 1)).alias("none")).first()
-    low, high = int(offset) + (bounds[0] == "("), int(offset + width) - (bounds[1] == ")")
-    if not span["whole"] or span["none"] or low > high:
-        return None
-    slots, _ = indexed(slots.select("_pos", *[rows.slot(p) for p in kinds]), ["_pos"])
-    at = F.col("_pos").cast("bigint")
-    block = max(max(high, 0) - min(low, 0) + 1, -(-int(span["hi"] - span["lo"] + 1) // (4 * ranges(df))))
-    of = lambda c: F.floor((F.least(F.greatest(c, F.lit(int(span["lo"]))), F.lit(int(span["hi"]))) - int(span["lo"])) / block).cast("bigint")
-    spread = slots.withColumn("_at", at).withColumn("_own", of(F.col("_at")))
-    spread = spread.withColumn("_block", F.explode(F.sequence(of(F.col("_at") - max(high, 0)), of(F.col("_at") - min(low, 0)))))
-    frame = Window.partitionBy("_block").orderBy("_at").rangeBetween(low, high)
-    out = spread.withColumn("_value", rows.measured_by(b, kinds, C.over(frame))).where("_own = _block")
-    left = F.col("_pos") + F.lit(offset)
-    return out.select(F.col("_idx").alias("iter"), left.alias("left"), (left + F.lit(width)).alias("right"), F.col("_value").alias(name))
+    return _valued(b, df, points.select("iter", left.alias("left"), (left + F.lit(float(width))).alias("right")), float(width), bounds, name, lowering)
 
 
 def rollbw_exec(
@@ -354,4 +395,4 @@ def rollbw_exec(
         if len(left) != len(right or ()):
             raise StatError("left and right must be equally long")
         windows = df.sparkSession.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(zip(left, right), 1)], "iter bigint, left double, right double")
-    return _valued(b, df, windows, bounds, name, lowering)
+    return _valued(b, df, windows, None, bounds, name, lowering)

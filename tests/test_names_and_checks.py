@@ -1,5 +1,6 @@
 """Names that clash with nothing, plans, checks, and windows at the rows' own places."""
 
+import random
 import warnings
 
 import pytest
@@ -83,3 +84,19 @@ def test_windows_at_the_rows_own_places(spark, bounds, width, offset):
         inside = [2.0**j for j, q in enumerate(places) if (q >= lo if bounds[0] == "[" else q > lo) and (q <= hi if bounds[1] == "]" else q < hi)]
         want.append((k, lo, hi, sum(inside)))
     assert got == want
+
+
+@pytest.mark.parametrize("bounds", ["()", "[]"])
+def test_windows_of_one_width_do_not_go_through_their_rows(spark, bounds):
+    g = random.Random(7)
+    places = [g.random() * 5 for _ in range(300)] + [2.5] * 200 + [1e4]
+    df = spark.createDataFrame([(p, float(k % 7)) for k, p in enumerate(places)], "p double, x double").repartition(3)
+    at = [-50.0, 0.0, 2.5, 2.5, 1.25, 4.9, 30.0, 1e4, 1e6, 2.499999]
+    for source, of in (("sum(x) + length(x)", lambda v: sum(v) + len(v)), ("any(x > 5) + 0L", lambda v: int(any(x > 5 for x in v)))):
+        out = rollat_exec(stat(source), df, "x", 1.5, at, -1.5, "p", bounds)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "RangeFrame" not in plan and "_at_cell" not in plan
+        inside = lambda p, a: (a - 1.5 <= p <= a) if bounds == "[]" else (a - 1.5 < p < a)
+        assert {r.iter: r.value for r in out.collect()} == {k: of([float(j % 7) for j, p in enumerate(places) if inside(p, a)]) for k, a in enumerate(at, 1)}
+    own = rollat_exec(stat("length(x)"), df, "x", 1.5, offset=-1.5, position="p")
+    assert "RangeFrame" not in own._jdf.queryExecution().executedPlan().toString()
