@@ -20,7 +20,10 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """df with its column value rounded, if it is a double."""
     if df.schema["value"].dataType.simpleString() != "double":
         return df
-    return df.withColumn("value", F.round("value", digits))
+    # as SQL engines do it, on the number times a power of 10, not on its decimal digits
+    scaled = F.col("value") * F.lit(10.0**digits)
+    whole = F.when(F.abs(scaled) < 2.0**52, F.round(scaled)).otherwise(scaled)
+    return df.withColumn("value", F.when(F.abs(scaled) < float("inf"), whole / F.lit(10.0**digits)).otherwise(F.col("value")))
 
 
 def columns(data: dict) -> dict:

@@ -84,7 +84,7 @@ def _whole_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(run_exec(stat("sum(x) / length(x)"), table(spark, folder, "events"), ["value"], "event_type", order="ts"))
+    return rounded(run_exec(stat("sum(x) / length(x)"), table(spark, folder, "events"), ["value"], "event_type", order="ts", peers=True))
 
 
 _EVENTS = {"x": lambda: holes("value", 90.0)}

@@ -57,10 +57,13 @@ def group_exec(
 
 
 def run_exec(
-    stat: Stat, df: DataFrame, data: Data, by: str, more: Mapping | Sequence | None = None, *, order: str | Sequence[str], name: str = "value", lowering: str = "auto"
+    stat: Stat, df: DataFrame, data: Data, by: str, more: Mapping | Sequence | None = None, *, order: str | Sequence[str], peers: bool = False, name: str = "value", lowering: str = "auto"
 ) -> DataFrame:
-    """As group_exec, for rows taken as sorted: neighbours in the order with equal keys are a group. Returns run (from 1), the key and the value."""
+    """As group_exec, for rows taken as sorted: neighbours in the order with equal keys are a group. Returns run (from 1), the key and the value.
+
+    peers: rows that the order leaves tied share one number, that of the last of them.
+    """
     b, df, new = settled(bound(stat, data, more), process_groups(df, by), [by, *_list(order)])
     order = [new[o] for o in _list(order)]
-    df = run_ids(df, new[by], order)
+    df = run_ids(df, new[by], order, peers)
     return named(lower(b, df, ["run", new[by]], order, None, "_value", lowering), new, name)

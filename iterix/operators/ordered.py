@@ -73,14 +73,15 @@ def indexed(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     return numbered.select(*[F.col(f"`{c}`") for c in columns], "_idx"), total
 
 
-def run_ids(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """df with a column run, from 1: equal neighbours in the order share it."""
+def run_ids(df: DataFrame, key: str, order: list[str], peers: bool = False) -> DataFrame:
+    """df with a column run, from 1: equal neighbours in the order share it. peers: rows that the order leaves tied share the last one's."""
     columns = df.columns
     df = ranged(df, order)
     w = _sorted(df, order)
     changed = F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise((~F.col(key).eqNullSafe(F.lag(key).over(w))).cast("int"))
     df = df.withColumn("_first", F.row_number().over(w) == 1).withColumn("_last", F.row_number().over(w) == F.count("*").over(Window.partitionBy("_range")))
-    df = df.withColumn("_steps", F.sum(changed).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = Window.partitionBy("_range").orderBy(*[F.col(o).asc_nulls_last() for o in order]).rangeBetween(Window.unboundedPreceding, 0) if peers else w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_changed", changed).withColumn("_steps", F.sum("_changed").over(upto))
     ends = df.where("_first or _last").groupBy("_range").agg(F.max(F.when(F.col("_first"), F.struct(F.col(key).alias("k")))).alias("first"), F.max(F.when(F.col("_last"), F.struct(F.col(key).alias("k")))).alias("last"), F.max("_steps").alias("steps"))
     bases, run, last = {}, 0, None
     for r in sorted(ends.collect(), key=lambda r: r["_range"]):  # one row a range

@@ -100,3 +100,18 @@ def test_windows_of_one_width_do_not_go_through_their_rows(spark, bounds):
         assert {r.iter: r.value for r in out.collect()} == {k: of([float(j % 7) for j, p in enumerate(places) if inside(p, a)]) for k, a in enumerate(at, 1)}
     own = rollat_exec(stat("length(x)"), df, "x", 1.5, offset=-1.5, position="p")
     assert "RangeFrame" not in own._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_number_tied_rows_and_round_as_their_sql(spark, tmp_path):
+    import duckdb
+
+    from iterix.catalogue import QUERIES, SQL
+
+    given = [(1, "c", 1.0), (2, "a", 2.0), (2, "b", 3.0), (3, "d", 4.0), (4, "d", 4.5), (5, "c", 1.0), (6, "a", 2.0), (6, "b", 2.5), (6, "e", 3.0), (7, "c", 5.0)]
+    given += [(100 + k, "runs"[k // 8 % 4], 50.0 + (k * 37 % 1000) / 100 + k // 8 * 0.07) for k in range(400)]
+    path = f"{tmp_path}/events.parquet"
+    spark.createDataFrame([(float(t), e, v) for t, e, v in given], "ts double, event_type string, value double").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    want = sorted(con.execute(f"SELECT run, event_type, value FROM ({SQL['group_runs']})").fetchall())
+    assert sorted((r.run, r.event_type, r.value) for r in QUERIES["group_runs"](spark, str(tmp_path)).collect()) == want
