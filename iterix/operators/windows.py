@@ -63,7 +63,9 @@ def window_values(b: Bound, data: DataFrame, windows: DataFrame, keys: list[str]
     # cells of about a window's width, but no more cells than keep a range of rows together
     cell = max(width, (hi - lo) / (1 << 24), math.ulp(max(abs(lo), abs(hi), 1.0)) * 4)
     number = lambda c: F.floor((c - F.lit(lo)) / F.lit(cell)).cast("bigint")
-    cells = F.when(F.col("_to") >= F.col("_from"), F.sequence(number(F.col("_from")), number(F.col("_to")))).otherwise(F.array(F.lit(-1).cast("bigint")))
+    # windows that meet no position keep to themselves, each in a cell without rows
+    nowhere = -1 - F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    cells = F.when(F.col("_to") >= F.col("_from"), F.sequence(number(F.col("_from")), number(F.col("_to")))).otherwise(F.array(nowhere))
     met = inner.select(*keys, "_left", "_right", F.explode(cells).alias("_cell"))
     right = data.withColumn("_at_cell", number(F.col("_pos"))).withColumn("_present", F.lit(True))
     on = (F.col("_cell") == F.col("_at_cell")) & _inside(F.col("_pos"), F.col("_left"), F.col("_right"), bounds)

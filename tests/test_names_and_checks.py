@@ -115,3 +115,15 @@ def test_runs_number_tied_rows_and_round_as_their_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
     want = sorted(con.execute(f"SELECT run, event_type, value FROM ({SQL['group_runs']})").fetchall())
     assert sorted((r.run, r.event_type, r.value) for r in QUERIES["group_runs"](spark, str(tmp_path)).collect()) == want
+
+
+def test_windows_without_rows_share_no_cell(spark):
+    from iterix.operators.lowering import bound
+    from iterix.operators.windows import _with_data, window_values
+
+    df = spark.createDataFrame([(float(k), float(k)) for k in range(50)], "p double, x double")
+    b, data = _with_data(bound(stat("sum(x)"), ["x"], None), df, [F.col("p").alias("_pos")])
+    far = spark.range(1000).select(F.col("id").alias("iter"), (F.col("id") * 7.0).alias("_left"), (F.col("id") * 7.0 + 5).alias("_right"))
+    out = window_values(b, data, far, ["iter"], "[)", "_value", ["_pos"], "auto")
+    assert {r.iter: r._value for r in out.collect()} == {k: float(sum(x for x in range(50) if 7 * k <= x < 7 * k + 5)) for k in range(1000)}
+    assert "xxhash64(iter" in out._jdf.queryExecution().optimizedPlan().toString()
