@@ -14,6 +14,7 @@ pre-tokens, and texts with special strings go to the library.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -52,8 +53,8 @@ def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def runs(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """(first place, slice) of runs of about limit bytes of a string column without nulls; one longer text comes alone."""
-    size = np.asarray(pc.binary_length(column)).astype(np.int64)
+    """(first place, slice) of runs of about limit bytes of a string column, where nulls have none; one longer text comes alone."""
+    size = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
     ends, i = np.concatenate([[0], np.cumsum(size)]), 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, "right")) - 1)
@@ -346,3 +347,10 @@ def encoder(name: str, kind: str) -> Encoder:
             path = public_tokenizers.path(name)
         _encoders[name, kind] = Encoder(path, kind)
     return _encoders[name, kind]
+
+
+def release() -> None:
+    """Drops this process's encoders: a worker that goes on to a step without them has no use for their caches."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()  # tables and their encoder refer to each other

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from iterix.llm import _bpe
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of its own only where the session names none and runs on one machine, as in tests."""
@@ -44,13 +46,22 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def kept_rows(df: DataFrame, keep: Callable[[list], Iterable[bool]]) -> DataFrame:
-    """The rows of df, all columns as they are, for which keep(texts) says so."""
-    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    """The rows of df, all columns as they are, for which keep(texts) says so.
+
+    Texts go to the workers once, within their rows, and are judged in runs of about 1 MB,
+    so besides the batch that Spark sends a worker holds one run's objects and result."""
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    at = df.columns.index("text") if "text" in df.columns else None
+    if at is None or not isinstance(df.schema[at].dataType, T.StringType):
+        at, whole = None, df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("text").cast("string").alias("text"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _bpe.release()
         for batch in batches:
-            mask = pa.array(list(keep(batch.column(1))), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask)], ["row"])
+            rows = batch.column(0)
+            texts = batch.column(1) if at is None else rows.field(at)
+            for first, run in _bpe.runs(texts):
+                yield pa.RecordBatch.from_arrays([rows.slice(first, len(run)).filter(pa.array(list(keep(run)), pa.bool_()))], ["row"])
 
     return whole.mapInArrow(choose, T.StructType([whole.schema["row"]])).select("row.*")
 

@@ -30,8 +30,9 @@ from __future__ import annotations
 
 import math
 import re
+import weakref
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from iterix.llm import _bpe
 from iterix.llm._links import kept_rows, stored
 from iterix.session import ship
 
@@ -69,23 +71,44 @@ class LanguageConfig:
     salts: int = 64
 
 
-_SEEN_LIMIT = 300_000
+#: Words outside the model whose scores a worker holds, and words cut into n-grams at once.
+_SEEN_LIMIT, _CUT_AT_ONCE = 200_000, 2_000
+
+
+class Shares(Mapping):
+    """Log shares in each language by key. Keys number the rows of one array, which takes half the memory of a tuple for each."""
+
+    def __init__(self, keys: Iterable[str] = (), rows: np.ndarray = np.zeros((0, 0))):
+        self.at, self.rows = {k: n for n, k in enumerate(keys)}, rows
+
+    def __getitem__(self, key: str) -> tuple[float, ...]:
+        return tuple(self.rows[self.at[key]].tolist())
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.at)
+
+    def __len__(self) -> int:
+        return len(self.at)
 
 
 class _Rows(dict):
-    """The row of each word in a table of scores; words not met before are scored as they come."""
+    """The row of each word in a table of scores: first the model's own, then others, scored as they come."""
 
-    def __init__(self, score, width: int, known: list[frozenset[str]]):
-        super().__init__()
-        self.score, self.table = score, np.zeros((1024, width))
-        self.known, self.known_in = np.zeros((1024, width), bool), known
+    def __init__(self, model: LanguageModel):
+        super().__init__(model.words.at)
+        spare = np.zeros((1024, len(model.languages)))
+        self.score = weakref.WeakMethod(model.word_scores)  # no cycle, so a worker is rid of a model as soon as its task is
+        self.table, self.known_in = np.concatenate([model.words.rows, spare]), model.known
+        self.known = np.zeros(self.table.shape, bool)
+        for k, words in enumerate(model.known):
+            self.known[: len(self), k] = np.fromiter(map(words.__contains__, self), bool, len(self))
 
     def __missing__(self, word: str) -> int:
         n = len(self)
         if n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-        self.table[n] = self.score(word)
+        self.table[n] = self.score()(word)
         for k, words in enumerate(self.known_in):
             self.known[n, k] = word in words
         self[word] = n
@@ -95,8 +118,8 @@ class _Rows(dict):
 @dataclass
 class LanguageModel:
     languages: list[str]
-    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
-    grams: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
+    words: Shares = field(default_factory=Shares)
+    grams: dict[int, Shares] = field(default_factory=dict)
     orders: tuple[int, ...] = (5, 4, 3, 2, 1)
     evidence_words: int = 12
     known: list[frozenset[str]] = field(default_factory=list)  # the words of each language
@@ -109,15 +132,14 @@ class LanguageModel:
         return self.__dict__ | {"_rows": None}
 
     def word_scores(self, word: str) -> tuple[float, ...]:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        if word in self.words.at:
+            return self.words[word]
         marked = f"<{word}>"
         for order in self.orders:
-            table = self.grams.get(order, {})
-            found = [g for k in range(len(marked) - order + 1) if (g := table.get(marked[k : k + order])) is not None]
+            table = self.grams[order]
+            found = [n for k in range(len(marked) - order + 1) if (n := table.at.get(marked[k : k + order])) is not None]
             if found:
-                return tuple(sum(x) / len(found) for x in zip(*found))
+                return tuple(sum(x) / len(found) for x in zip(*table.rows[found].tolist()))
         return (0.0,) * len(self.languages)
 
     def _judged(self, texts: list[str | None]) -> Iterator[tuple[int, float, np.ndarray | None]]:
@@ -127,8 +149,8 @@ class LanguageModel:
             if not words:
                 yield 0, 0.0, None
                 continue
-            if self._rows is None or len(self._rows) > _SEEN_LIMIT:
-                self._rows = _Rows(self.word_scores, len(self.languages), self.known)
+            if self._rows is None or len(self._rows) > len(self.words) + _SEEN_LIMIT:
+                self._rows = _Rows(self)
             at = np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))
             evidence = self._rows.table[at].mean(axis=0) * min(len(words), self.evidence_words)
             share = np.exp(evidence - evidence.max())
@@ -155,14 +177,14 @@ class LanguageModel:
         return out
 
 
-def _log_shares(by_language: list[Counter], totals: list[int], smoothing: float) -> dict[str, tuple[float, ...]]:
-    kept = set().union(*by_language)
+def _log_shares(by_language: list[Counter], totals: list[int], smoothing: float) -> Shares:
+    kept = list(set().union(*by_language))
     wholes = [n + smoothing * (len(kept) + 1) for n in totals]
-    out = {}
-    for k in kept:
+    rows = np.zeros((len(kept), len(totals)))
+    for n, k in enumerate(kept):
         row = np.array([math.log((c[k] + smoothing) / whole) for c, whole in zip(by_language, wholes)])
-        out[k] = tuple((row - row.mean()).tolist())  # only differences between languages matter; a gram of another length then weighs alike
-    return out
+        rows[n] = row - row.mean()  # only differences between languages matter; a gram of another length then weighs alike
+    return Shares(kept, rows)
 
 
 def _marked_grams(word: str, order: int) -> list[str]:
@@ -211,9 +233,9 @@ def fit(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> Language
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "len", "gram", "n"]
-        for batch in batches:
+        for part in (batch.slice(k, _CUT_AT_ONCE) for batch in batches for k in range(0, batch.num_rows, _CUT_AT_ONCE)):
             found: Counter = Counter()
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, word, n in zip(*(c.to_pylist() for c in part.columns)):
                 found[lang, 0, word] += n
                 for order in cfg.orders:
                     for g in _marked_grams(word, order):
@@ -282,8 +304,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = m.predict(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            for first, run in _bpe.runs(batch.column(2)):
+                found = m.predict(run.to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(run)) for k in (0, 1)), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return given.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -51,6 +51,8 @@ _LOWER[97:123] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 N_FEATURES = 19
+#: Bytes of texts measured at once: the work arrays take many times as much.
+_CHUNK = 1 << 18
 
 
 def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -118,7 +120,7 @@ def _windows(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray
 
 def batch_statistics(column: pa.Array) -> np.ndarray:
     raw, off = _text.utf8(column)
-    parts = [statistics(r, o) for _, _, r, o in _text.chunks(raw, off)]
+    parts = [statistics(r, o) for _, _, r, o in _text.chunks(raw, off, _CHUNK)]
     return np.concatenate(parts) if parts else np.zeros((0, N_FEATURES))
 
 

@@ -1,11 +1,16 @@
+import gc
+import pickle
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from iterix.llm import _bpe, _links
 from iterix.llm import language_id as L
 from iterix.llm import quality as Q
 from iterix.session import ship
@@ -138,6 +143,65 @@ def test_no_size_is_set():
     assert set(words) == model.words.keys()
 
 
+def test_filters_hold_a_bounded_run_of_texts(spark):
+    """A worker judges about 1 MB at once, however large the batch, and drops what encoders it has; each row is judged."""
+    texts = [f"{k} " + "x" * 3000 for k in range(3000)] + [None, "", "y" * 3_000_000, None, "z"]
+    ship(spark)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+
+    def keep(column):
+        found = [t or "" for t in column.to_pylist()]
+        fits = (len(found) == 1 or sum(map(len, found)) <= 1 << 20) and not _bpe._encoders
+        return [fits and not t.startswith("7") for t in found]
+
+    want = [k for k, t in enumerate(texts) if not (t or "").startswith("7")]
+    for df in (rows, rows.withColumnRenamed("text", "TEXT"), rows.selectExpr("doc_id", "cast(text as binary) as text")):
+        out = _links.kept_rows(df, keep)
+        assert out.schema == df.schema and [r.doc_id for r in out.select("doc_id").collect()] == want
+    assert _links.kept_rows(rows.limit(0), keep).count() == 0
+
+
+def test_encoders_are_released():
+    made = _bpe.Encoder.__new__(_bpe.Encoder)
+    made.table = _bpe.Table(made.encode)  # a cycle, as in a whole one
+    gone, before = weakref.ref(made), dict(_bpe._encoders)
+    _bpe._encoders["some", "byte"] = made
+    del made
+    _bpe.release()
+    assert not _bpe._encoders and gone() is None
+    _bpe._encoders.update(before)
+
+
+def test_a_model_is_small_and_goes_with_its_task():
+    g = random.Random(2)
+    words = ["".join(g.choice("abcdefghij") for _ in range(9)) for _ in range(20_000)]
+    whole = L.fit_rows([(lang, " ".join(words)) for lang in ("aa", "bb", "cc", "dd") for _ in range(2)])
+    keys = len(whole.words) + sum(map(len, whole.grams.values()))
+    sent = pickle.dumps(whole)
+    gc.collect()
+    gc.disable()
+    try:
+        tracemalloc.start()
+        model = pickle.loads(sent)
+        assert tracemalloc.get_traced_memory()[0] / keys < 300
+        assert model.predict([words[0] + " unheard"]) == whole.predict([words[0] + " unheard"])
+        gone = weakref.ref(model)
+        del model
+        assert gone() is None
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+
+
+def test_scores_do_not_depend_on_what_is_held(monkeypatch):
+    rows, g = spoken(200, 5)
+    model = L.fit_rows([(lang, text) for _, text, lang, *_ in rows if lang])
+    texts = [text for _, text, *_ in rows] + [speak(g, "aa", 3) + f" neu{k * 'e'} strag" for k in range(40)]
+    want = [(model.predict([t])[0], model.accepts([t], 0.5)[0]) for t in texts]
+    monkeypatch.setattr(L, "_SEEN_LIMIT", 3)
+    assert [(x, y) for x, y in zip(model.predict(texts), model.accepts(texts, 0.5))] == want
+
+
 def test_quality_of_held_out_texts(spark):
     rows, known, _ = written()
     docs, labels = ship(spark).createDataFrame(rows, DOCS), spark.createDataFrame(known, LABELS)
