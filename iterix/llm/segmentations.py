@@ -43,7 +43,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from iterix.llm._bpe import Numbers
 from iterix.llm._bpe import spans as _spans
 from iterix.llm._text import mix
 from iterix.session import ship
@@ -83,6 +82,11 @@ def _gumbel(key: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(_unit(key)))
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number; zeros follow the last."""
+    return np.ndarray(len(raw) + 1, "<u8", np.append(raw, np.zeros(8, np.uint8)), strides=(1,)).copy()
+
+
 class Vocabulary:
     """The pieces of a model file as a trie in arrays."""
 
@@ -103,19 +107,20 @@ class Vocabulary:
                 pieces[piece] = i
                 self.surface[i] = piece.encode()
         self.bytes_of = np.array([len(x) for x in self.surface], np.int32)
-        self.bytes_at = (np.cumsum(self.bytes_of) - self.bytes_of).astype(np.int32)
-        self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.eight = np.array([int.from_bytes(x[:8], "little") for x in self.surface], np.uint64)
+        self.eight_mask = np.array([(1 << 8 * min(8, len(x))) - 1 for x in self.surface], np.uint64)
         ranked = sorted(pieces, key=lambda p: (-sp.get_score(pieces[p]), pieces[p]))
         self.rank = np.zeros(n)
         for r, p in enumerate(ranked):
             self.rank[pieces[p]] = r
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece spans the start of a word")
-        joined = "".join(sorted({c for p in pieces if len(p) > 1 for c in p} - {SPACE}))
+        parts = {c for p in pieces if len(p) > 1 for c in p}
+        joined = "".join(sorted(parts - {SPACE}))
         inner = f"[{re.escape(joined)}]" if joined else r"[^\s\S]"
         # characters of no longer piece stand alone
         self.words = re.compile(f"{SPACE}+{inner}*|{inner}+|[\\s\\S]")
-        letters = sorted({c for p in pieces for c in p})
+        letters = sorted(parts) + sorted({c for p in pieces for c in p} - parts)
         self.letter = np.full(0x110000, -1, np.int32)
         self.letter[[ord(c) for c in letters]] = np.arange(len(letters))
         self.width = len(letters)
@@ -124,7 +129,7 @@ class Vocabulary:
         for p in pieces:
             node = 0
             for c in p:
-                key = node * self.width + int(self.letter[ord(c)])
+                key = node * (self.width + 1) + int(self.letter[ord(c)])
                 node = children.get(key, 0)
                 if not node:
                     node = children[key] = len(final)
@@ -132,52 +137,72 @@ class Vocabulary:
             final[node] = pieces[p]
         self.final = np.array(final)
         self.bits = max(8, (4 * len(children)).bit_length())
-        self.slot_key = np.full(1 << self.bits, -1, np.int64)
-        self.slot_node = np.zeros(1 << self.bits, np.int64)
+        self.slots = np.zeros(1 << self.bits, np.dtype([("key", np.int64), ("node", np.int64)]))
+        self.slots["key"] = -1
         keys, nodes = np.array(list(children), np.int64), np.array(list(children.values()), np.int64)
         at = self._slot(keys)
         while len(keys):  # open addressing: of those that want a free slot, the first gets it
-            free = self.slot_key[at] < 0
+            free = self.slots["key"][at] < 0
             won = np.zeros(len(keys), bool)
             first = np.unique(at[free], return_index=True)[1]
             won[np.flatnonzero(free)[first]] = True
-            self.slot_key[at[won]], self.slot_node[at[won]] = keys[won], nodes[won]
+            self.slots["key"][at[won]], self.slots["node"][at[won]] = keys[won], nodes[won]
             keys, nodes, at = keys[~won], nodes[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+        self.root = self.child(np.zeros(self.width + 1, np.int64), np.arange(self.width + 1))
+        #: The nodes of all pairs of the letters of longer pieces, where the table stays small; the last row and column: of others, or no letter.
+        self.parts = len(parts)
+        row, column = np.divmod(np.arange((self.parts + 1) ** 2), self.parts + 1)
+        self.second = self.child(self.root[row], column) if self.parts <= 1024 else None
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * _STEP) >> _U(64 - self.bits)).astype(np.int64)
 
     def child(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        """The node below, or 0."""
-        key = node * self.width + letter
-        at, out = self._slot(key), np.zeros(len(key), np.int64)
-        left = np.flatnonzero(letter >= 0)
+        """The node below, or 0. No letter is -1, or the width: no key has either."""
+        key = node * (self.width + 1) + letter
+        at = self._slot(key)
+        slot = self.slots.take(at)
+        same = slot["key"] == key
+        out = np.where(same, slot["node"], 0)
+        left = np.flatnonzero((slot["key"] >= 0) & ~same)
         while len(left):
-            found = self.slot_key[at[left]]
-            hit = found == key[left]
-            out[left[hit]] = self.slot_node[at[left[hit]]]
-            left = left[~hit & (found >= 0)]
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            slot = self.slots.take(at[left])
+            same = slot["key"] == key[left]
+            out[left[same]] = slot["node"][same]
+            left = left[(slot["key"] >= 0) & ~same]
         return out
 
-    def targets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The joined bytes that the pieces of each text spell, and their number."""
+    def below(self, level: int, node: np.ndarray, letter: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """As child, for nodes at a level of the trie (from 0), with the letters that lead to them."""
+        if level == 0:
+            return self.root.take(letter, mode="wrap")
+        if level > 1 or self.second is None:
+            return self.child(node, letter)
+        return self.second.take(np.minimum(before, self.parts) * (self.parts + 1) + np.minimum(letter, self.parts), mode="wrap")
+
+    def targets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The joined bytes that the pieces of each text spell, their number, and the eight bytes from each place on."""
         whole = [normalise(t).encode("utf-8", "surrogatepass") for t in texts]
-        return np.frombuffer(b"".join(whole), np.uint8), np.array([len(w) for w in whole], np.int64)
+        raw = np.frombuffer(b"".join(whole), np.uint8)
+        return raw, np.array([len(w) for w in whole], np.int64), _eights(raw)
 
-    def spells(self, ids: np.ndarray, n: np.ndarray, target: tuple[np.ndarray, np.ndarray], text: np.ndarray) -> np.ndarray:
+    def spells(self, ids: np.ndarray, n: np.ndarray, target: tuple[np.ndarray, np.ndarray, np.ndarray], text: np.ndarray) -> np.ndarray:
         """Whether the n ids of each of the texts decode to it; target: of all texts."""
-        raw, size = target
+        raw, size, eights = target
         if len(text) < len(size):
             raw, size = raw[_spans((np.cumsum(size) - size)[text], size[text])], size[text]
+            eights = _eights(raw)
         width = self.bytes_of[ids]
         ends = np.concatenate([[0], np.cumsum(width)])
         head = np.cumsum(n) - n
         out = ends[head + n] - ends[head] == size
         if out.all() and len(ids):
-            same = self.flat[_spans(self.bytes_at[ids], width)] == raw
-            full = np.flatnonzero(size)
-            out[full] = np.logical_and.reduceat(same, (np.cumsum(size) - size)[full])
+            same = ((eights[ends[:-1]] ^ self.eight[ids]) & self.eight_mask[ids]) == 0
+            for k in np.flatnonzero(width > 8).tolist():
+                same[k] = self.surface[ids[k]] == raw[ends[k] : ends[k + 1]].tobytes()
+            full = np.flatnonzero(n)
+            out[full] = np.logical_and.reduceat(same, head[full])
         elif len(ids):  # lengths differ somewhere: text by text
             at = np.concatenate([[0], np.cumsum(size)])
             out = np.array([b"".join(self.surface[i] for i in ids[h : h + m]) == raw[i:j].tobytes() for h, m, i, j in zip(head, n, at, at[1:])], bool)
@@ -194,14 +219,18 @@ class Lattice:
 
     #: Of a node: its first edge (-1 at its word's end), its number of edges, its character.
     NODES = {"begin": np.int32, "degree": np.int32, "point": np.int32}
-    #: Of an edge: the nodes it joins, its piece (-1: the byte pieces of its character), its log probability at its node, the sum of probabilities up to it there, that of all others.
-    EDGES = {"start": np.int32, "stop": np.int32, "piece": np.int32, "logp": np.float64, "cum": np.float64, "rest": np.float64}
+    #: What a walk reads of an edge, in one place: the greatest key that takes it or one before it at its node, and the first edge after it (-1 at its word's end).
+    STEP = np.dtype([("bound", np.uint64), ("next", np.int64)])
+    #: Of an edge: its node, its piece (-1: the byte pieces of its character), its log probability at its node, the sum of probabilities of all others there.
+    EDGES = {"start": np.int32, "piece": np.int32, "step": STEP, "logp": np.float64, "rest": np.float64}
 
     def __init__(self, vocabulary: Vocabulary, cfg: SegmentationConfig):
         self.vocabulary = vocabulary
-        self.weights = -cfg.alpha * np.log1p(np.append(vocabulary.rank, cfg.unknown_rank))
+        rank = np.append(vocabulary.rank, cfg.unknown_rank)
+        rank[vocabulary.is_byte] = cfg.unknown_rank
+        self.weights = -cfg.alpha * np.log1p(rank)
         self.size = (0, 0, 0)  # words, nodes, edges
-        self.first = np.zeros(1024, np.int32)
+        self.first = np.zeros(1024, np.int32)  # of each word: its first edge
         for name, kind in (self.NODES | self.EDGES).items():
             setattr(self, name, np.zeros(8192, kind))
 
@@ -212,10 +241,11 @@ class Lattice:
         new = self._of(words)
         first, nodes, edges = new.pop("first"), len(new["begin"]), len(new["start"])
         self.size = (n_words + len(first), n_nodes + nodes, n_edges + edges)
-        self._put("first", n_words, first + n_nodes)
+        self._put("first", n_words, first + n_edges)
         new["begin"][new["begin"] >= 0] += n_edges
         new["start"] += n_nodes
-        new["stop"] += n_nodes
+        after = new["step"]["next"]
+        after[after >= 0] += n_edges
         for name in self.NODES:
             self._put(name, n_nodes, new[name])
         for name in self.EDGES:
@@ -231,62 +261,74 @@ class Lattice:
 
     def _of(self, words: list[str]) -> dict[str, np.ndarray]:
         vocabulary = self.vocabulary
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
-        lengths = np.array([len(w) for w in words], np.int32)
-        first = (np.cumsum(lengths + 1) - (lengths + 1)).astype(np.int32)  # of each word's nodes; one more ends it
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(lengths + 1) - (lengths + 1)  # of each word's nodes; one more ends it
         n_nodes = int((lengths + 1).sum())
-        letter = np.full(n_nodes, -1, np.int32)
-        at = _spans(first, lengths).astype(np.int32)
-        letter[at] = vocabulary.letter[points]
-        point = np.zeros(n_nodes, np.int32)
-        point[at] = points
+        letter, point, inside = np.full(n_nodes, -1, np.int64), np.zeros(n_nodes, np.int32), np.ones(n_nodes, bool)
+        inside[first + lengths] = False
+        at = np.flatnonzero(inside)
+        letter[at], point[at] = vocabulary.letter.take(points), points
         found = []
-        live, node, reach = at, np.zeros(len(at), np.int64), at
-        single = np.zeros(n_nodes, bool)
-        degree = np.zeros(n_nodes, np.int32)
-        while len(live):
-            node = vocabulary.child(node, letter[reach])
+        live, node, reach, before = at, np.zeros(len(at), np.int64), at, np.zeros(len(at), np.int64)
+        degree = np.zeros(n_nodes, np.int64)
+        for level in itertools.count():
+            if not len(live):
+                break
+            now = letter.take(reach)
+            node = vocabulary.below(level, node, now, before)
             on = np.flatnonzero(node)
-            live, node, reach = live[on], node[on], reach[on] + 1
-            of = vocabulary.final[node]
+            if len(on) < len(node):
+                live, node, reach, now = live.take(on), node.take(on), reach.take(on), now.take(on)
+            reach, before = reach + 1, now
+            of = vocabulary.final.take(node)
             hit = np.flatnonzero(of >= 0)
-            starts = live[hit]
-            if not found:  # one letter; a character without a piece still has an edge
-                single[starts] = True
-                lone = at[~single[at]]
-                alone = np.where(point[lone] < 128, vocabulary.byte_id[point[lone] & 127], -1).astype(np.int32)  # of one byte, or of several
-                found.append((lone, lone + 1, alone, degree[lone]))
-                degree[lone] += 1
-            found.append((starts, reach[hit], of[hit], degree[starts]))
-            degree[starts] += 1
-        begin = (np.cumsum(degree) - degree).astype(np.int32)
+            starts = live.take(hit)
+            if not level:  # one letter; a character without a piece still has an edge
+                lone = inside.copy()
+                lone[starts] = False
+                lone = np.flatnonzero(lone)
+                alone = np.where(point[lone] < 128, vocabulary.byte_id[point[lone] & 127], -1)  # of one byte, or of several
+                found.append((lone, lone + 1, alone, 0))
+                degree[at] = 1
+                found.append((starts, reach.take(hit), of.take(hit), 0))
+            else:
+                nth = degree.take(starts)
+                found.append((starts, reach.take(hit), of.take(hit), nth))
+                degree[starts] = nth + 1
+        begin = np.cumsum(degree) - degree
         n_edges = int(degree.sum())
-        start, stop, piece = (np.zeros(n_edges, np.int32) for _ in range(3))
+        start, stop, piece = np.repeat(np.arange(n_nodes), degree), np.zeros(n_edges, np.int64), np.zeros(n_edges, np.int64)
+        last = begin + degree - 1
         for starts, stops, pieces, nth in found:  # a node's longest edge, often the likeliest, comes first
-            to = begin[starts] + degree[starts] - 1 - nth
-            start[to], stop[to], piece[to] = starts, stops, pieces
-        weight = self.weights[np.where(vocabulary.is_byte[piece], -1, piece)]
+            to = last.take(starts) - nth
+            stop[to], piece[to] = stops, pieces
+        weight = self.weights.take(piece, mode="wrap")
         # mass from each node to its word's end, nearest nodes first
         mass = np.zeros(n_nodes)
-        distance = np.repeat(first + lengths, lengths + 1) - np.arange(n_nodes, dtype=np.int32)
+        longest = int(lengths.max(initial=0))
+        distance = np.repeat(first + lengths, lengths + 1) - np.arange(n_nodes)
+        if longest < 1 << 15:
+            distance = distance.astype(np.int16)  # sorted by digits
         by = np.argsort(distance, kind="stable")
-        cut = np.searchsorted(distance[by], np.arange(1, int(lengths.max(initial=0)) + 2))
+        cut = np.concatenate([[0], np.cumsum(np.bincount(distance, minlength=longest + 1))])[1:]
+        n = degree.take(by)
+        order = _spans(begin.take(by), n)
+        weights, stops, head = weight.take(order), stop.take(order), np.append(np.cumsum(n) - n, n_edges)
         for lo, hi in zip(cut[:-1], cut[1:]):
-            nodes = by[lo:hi]
-            n = degree[nodes]
-            edges = _spans(begin[nodes], n)
-            value = weight[edges] + mass[stop[edges]]
-            head = np.cumsum(n) - n
-            top = np.maximum.reduceat(value, head)
-            mass[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), head))
-        logp = weight + mass[stop] - mass[start]
+            i, j = head[lo], head[hi]
+            value = weights[i:j] + mass.take(stops[i:j])
+            heads = head[lo:hi] - i
+            top = np.maximum.reduceat(value, heads)
+            mass[by[lo:hi]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n[lo:hi])), heads))
+        logp = weight + mass.take(stop) - mass.take(start)
         p = np.exp(logp)
         inner = np.flatnonzero(degree)
         heads = begin[inner]
         total = np.cumsum(p)
         before = np.zeros(n_nodes)
         before[inner] = total[heads] - p[heads]
-        cum = total - before[start]
+        cum = total - before.take(start)
         cum[heads + degree[inner] - 1] = 2.0  # the last edge takes the rest
         # the mass of an edge's siblings; where it is small, summed without the edge
         rest = 1 - p
@@ -296,28 +338,36 @@ class Lattice:
             p[large] = 0.0
             small[inner] = np.add.reduceat(p, heads)
             rest[large] = small[start[large]]
+        first = begin[first]
         begin[degree == 0] = -1
-        return {"first": first, "begin": begin, "degree": degree, "point": point, "start": start, "stop": stop, "piece": piece, "logp": logp, "cum": cum, "rest": rest}
-
-    def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled edges from each node to its word's end: the number of each walk's, and the edges, walk by walk."""
-        taken, which = [], np.arange(len(node), dtype=np.int32)
-        lengths = np.zeros(len(node), np.int64)
-        while True:
-            edge = self.begin[node]
-            on = np.flatnonzero(edge >= 0)
-            if not len(on):
-                break
+        step = np.empty(n_edges, self.STEP)
+        # u of 53 bits, the high ones of a key, takes the first edge with u < cum; keys are odd
+        bound = np.ceil(np.minimum(cum, 1.0) * 2.0**53).astype(np.uint64) << _U(11)  # 0 for 1: then less 1 it is the greatest key
+        step["bound"] = np.where(cum > 0, bound, _U(1)) - _U(1)
+        step["next"] = begin.take(stop)
+        return {"first": first, "begin": begin, "degree": degree, "point": point, "start": start, "piece": piece, "step": step, "logp": logp, "rest": rest}
+
+    def walk(self, edge: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled edges from the node of each of the edges, its first, to its word's end (-1: there): the number of each walk's, and the edges, walk by walk."""
+        taken, which = [], np.arange(len(edge))
+        lengths = np.zeros(len(edge), np.int64)
+        on = np.flatnonzero(edge >= 0)
+        while len(on):
             if len(on) < len(edge):
-                which, edge, key = which[on], edge[on], key[on]
-            u = (key >> _U(11)) * 2.0**-53
-            more = np.flatnonzero(self.cum[edge] <= u)
-            while len(more):
-                edge[more] += 1
-                more = more[self.cum[edge[more]] <= u[more]]
-            lengths[which] += 1
+                which, edge, key = which.take(on), edge.take(on), key.take(on)
+            step = self.step.take(edge)
+            more = np.flatnonzero(step["bound"] < key)
+            if len(more):
+                edge = edge.copy()
+                while len(more):
+                    edge[more] += 1
+                    step[more] = other = self.step.take(edge[more])
+                    more = more[other["bound"] < key[more]]
             taken.append((which, edge))
-            node, key = self.stop[edge], key * _MULTIPLIER
+            edge, key = step["next"], key * _MULTIPLIER
+            on = edge >= 0
+            lengths[which.take(np.flatnonzero(~on))] = len(taken)
+            on = np.flatnonzero(on)
         start = np.cumsum(lengths) - lengths
         edges = np.zeros(int(lengths.sum()), np.int32)
         for k, (which, edge) in enumerate(taken):  # every walk takes one step a turn
@@ -341,9 +391,14 @@ class Search:
 
     A path's sets, one for each step that it could have left at, wait as one: the
     greatest value in all of them is drawn from their total mass, and the set that
-    holds it in proportion to their masses.
+    holds it in proportion to their masses. All sets that leave after a step have
+    less mass together than the path up to it. So the masses of the first AHEAD
+    steps are noted, and all others only where they could count: where that bound is
+    not below 2^-60 of the total, which no sum in double precision can tell from none.
     """
 
+    AHEAD = 256
+
     def __init__(self, lattice: Lattice, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, rounds: int):
         """words: of all texts in turn, as numbers of the lattice; counts: words of each text; keys: of each text."""
         self.lat, self.words, self.counts, self.keys, self.rounds = lattice, words, counts, keys, rounds
@@ -357,20 +412,22 @@ class Search:
         self.top = np.zeros((rounds, n))  # what its sets are truncated at
         self.best = np.full((rounds, n), -np.inf)
         self.taken = ints()  # how many of its sets were taken
+        self.noted = ints()  # up to which step the masses of its sets are noted
+        self.upto = np.zeros((rounds, n))  # its log probability up to there
         self.avoid = np.full((rounds, n, rounds), -1, np.int64)  # edges that the set at the first own step avoids
 
     def _key(self, text: np.ndarray, turn: int | np.ndarray, use: int) -> np.ndarray:
         step = (np.asarray(turn, np.uint64) * _U(4) + _U(use + 1)) * np.full(1, _STEP)
         return mix(self.keys[text] + step)
 
-    def _suffix(self, text: np.ndarray, turn: int, word: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of steps of each text, word places, edges) from a node of a word of each text (node -1: from that word's start) to the text's end."""
+    def _suffix(self, text: np.ndarray, turn: int, word: np.ndarray, after: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of steps of each text, word places, edges) from a node of a word of each text to the text's end. after: the first edge there, or -1 at the word's end; None: from the words' starts."""
         n = self.word_first[text] + self.counts[text] - word
         place = _spans(word, n)
-        begin = self.lat.first[self.words[place]]
+        begin = self.lat.first[self.words[place]].astype(np.int64)
         head = np.cumsum(n) - n
-        inside = np.flatnonzero((node >= 0) & (n > 0))
-        begin[head[inside]] = node[inside]
+        if after is not None:
+            begin[head] = after
         nth = place - np.repeat(self.word_first[text], n)
         key = mix(np.repeat(self._key(text, turn, 0), n) + nth.astype(np.uint64) * _U(0xD1B54A32D192ED03)) | _U(1)
         walked, edge = self.lat.walk(begin, key)
@@ -395,41 +452,56 @@ class Search:
         out, full = np.zeros(len(n)), np.flatnonzero(n > 0)
         if len(full):
             m = n[full]
-            out[full] = np.add.reduceat(self.lat.logp[self.edges[_spans(at[full], m)]], np.cumsum(m) - m)
+            out[full] = np.add.reduceat(self.lat.logp.take(self.edges[_spans(at[full], m)]), np.cumsum(m) - m)
         return out
 
     def _split(self, turn: int, text: np.ndarray, rest: np.ndarray | None) -> np.ndarray:
         """Note the masses of the sets that the paths of a round split off; rest: relative, of those at the first own steps. Returns the paths' log probabilities."""
-        whole, start = self.size[turn, text] - self.own[turn, text], self.at[turn, text] + self.own[turn, text]
-        full = np.flatnonzero(whole > 0)
-        out = self.before[turn, text]
+        own, size = self.own[turn, text], self.size[turn, text]
+        start, before = self.at[turn, text] + own, self.before[turn, text]
+        self.noted[turn, text], self.upto[turn, text] = own, before
+        self._note(np.full(len(text), turn), text, np.minimum(size, own + self.AHEAD))
+        if rest is not None:
+            self.mass[start] = np.exp(before) * rest
+        return before + self._sum(start, size - own)
+
+    def _note(self, turn: np.ndarray, text: np.ndarray, to: np.ndarray) -> None:
+        """Note the masses of the sets that leave paths up to a step."""
+        full = np.flatnonzero(to > self.noted[turn, text])
         if not len(full):
-            return out
-        n = whole[full]
-        at = _spans(start[full], n)
+            return
+        turn, text, to = turn[full], text[full], to[full]
+        n = to - self.noted[turn, text]
+        at = _spans(self.at[turn, text] + self.noted[turn, text], n)
         edge = self.edges[at]
-        logp = self.lat.logp[edge]
+        logp = self.lat.logp.take(edge)
         head = np.cumsum(n) - n
         run = np.cumsum(logp)
-        before = (run - logp) + np.repeat(out[full] - (run - logp)[head], n)
-        others = self.lat.rest[edge]
-        if rest is not None:
-            others[head] = rest[full]
-        self.mass[at] = np.exp(before) * others
-        out[full] += np.add.reduceat(logp, head)  # by text: a running sum's rounding depends on the batch
-        return out
+        before = (run - logp) + np.repeat(self.upto[turn, text] - (run - logp)[head], n)
+        self.mass[at] = np.exp(before) * self.lat.rest.take(edge)
+        self.noted[turn, text] = to
+        self.upto[turn, text] += np.add.reduceat(logp, head)  # by text: a running sum's rounding depends on the batch
+
+    def _masses(self, turn: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(masses noted, the first of each path, how many, their sums) of paths with steps of their own."""
+        n = self.noted[turn, text] - self.own[turn, text]
+        mass = self.mass[_spans(self.at[turn, text] + self.own[turn, text], n)]
+        head = np.cumsum(n) - n
+        return mass, head, n, np.add.reduceat(mass, head)
 
     def _draw(self, turn: np.ndarray, text: np.ndarray) -> None:
         """Draw the best of what is left of paths' sets."""
-        whole = self.size[turn, text] - self.own[turn, text]
         self.best[turn, text] = -np.inf
-        full = np.flatnonzero(whole > 0)
-        turn, text, n = turn[full], text[full], whole[full]
+        full = np.flatnonzero(self.size[turn, text] > self.own[turn, text])
+        turn, text = turn[full], text[full]
         if not len(text):
             return
-        mass = self.mass[_spans(self.at[turn, text] + self.own[turn, text], n)]
-        head = np.cumsum(n) - n
-        total = np.add.reduceat(mass, head)
+        mass, head, n, total = self._masses(turn, text)
+        size = self.size[turn, text]
+        short = np.flatnonzero((self.noted[turn, text] < size) & (np.exp(self.upto[turn, text]) >= total * 2.0**-60))
+        if len(short):
+            self._note(turn[short], text[short], size[short])
+            mass, head, n, total = self._masses(turn, text)
         ok = np.flatnonzero(total > 0)
         turn, text = turn[ok], text[ok]
         key = mix(self._key(text, turn, 1) + self.taken[turn, text].astype(np.uint64) * _U(0xD1B54A32D192ED03))
@@ -445,7 +517,7 @@ class Search:
     def run(self) -> list[Samples]:
         n, lat = len(self.counts), self.lat
         text = np.arange(n)
-        lengths, place, edge = self._suffix(text, 0, self.word_first.copy(), np.full(n, -1))
+        lengths, place, edge = self._suffix(text, 0, self.word_first, None)
         self.at[0], self.size[0] = np.cumsum(lengths) - lengths + self._store(edge, place), lengths
         self.top[0] = _gumbel(self._key(text, 0, 2))
         found = [(text, self._split(0, text, None))]
@@ -487,7 +559,7 @@ class Search:
             self.top[path, text] = top
             self._draw(path, text)
             # the prefix, the new edge, and a fresh suffix
-            n_after, s_place, s_edge = self._suffix(text, turn, word, lat.stop[new].astype(np.int64))
+            n_after, s_place, s_edge = self._suffix(text, turn, word, lat.step["next"][new])
             lengths = nth + 1 + n_after
             base = np.cumsum(lengths) - lengths
             edge, place = np.zeros(int(lengths.sum()), np.int32), np.zeros(int(lengths.sum()), np.int32)
@@ -571,9 +643,9 @@ class Sampler:
         missed = np.flatnonzero(at < 0)
         self.lattice.size = self.kept
         if len(missed):
-            numbers = Numbers()
-            of = np.fromiter(map(numbers.__getitem__, [cut[k] for k in missed.tolist()]), np.int64, len(missed))
-            new, first = list(numbers), len(self.units)
+            found = [cut[k] for k in missed.tolist()]
+            new, first = list(dict.fromkeys(found)), len(self.units)
+            of = np.fromiter(map(dict(zip(new, range(len(new)))).__getitem__, found), np.int64, len(missed))
             code = np.fromiter(map(hash, new), np.int64, len(new)) & (len(self.met) - 1)
             again = self.met[code] & np.array([type(u) is str and len(u) <= 64 for u in new])
             self.met[code] = True
@@ -596,7 +668,7 @@ class Sampler:
         words, counts = self._words(texts)
         lattice = self.lattice
         for rank, s in enumerate(Search(lattice, words, counts, keys, self.cfg.samples).run(), 1):
-            ids, n = lattice.piece[s.edges], s.lengths
+            ids, n = lattice.piece.take(s.edges), s.lengths
             unknown = np.flatnonzero(ids < 0)
             if len(unknown):  # their UTF-8 byte pieces
                 raw = [chr(c).encode("utf-8", "surrogatepass") for c in lattice.point[lattice.start[s.edges[unknown]]].tolist()]

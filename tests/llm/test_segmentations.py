@@ -122,3 +122,57 @@ def test_query_columns_and_edge_rows(spark):
         S.decode(S.sample_segmentations(docs).withColumnRenamed("sample", "text"))
     assert {r.found for r in S.decode(S.sample_segmentations(docs).withColumnRenamed("sample", "text"), column="found").collect() if r.doc_id == 1} == {"a cat sat"}
     assert list(itertools.islice(S._runs(["a" * 10, "b" * 10, None], 12), 5)) == [(0, 1), (1, 3)]
+
+
+def test_masses_are_noted_only_where_they_count(v, monkeypatch):
+    texts = ["the cat sat on the mat. " * 300 + "end", "日" * 900 + " cat", "日" * 900, "cat", None]
+
+    def search(ahead):
+        monkeypatch.setattr(S.Search, "AHEAD", ahead)
+        sampler = S.Sampler(v, CFG)
+        words, counts = sampler._words(texts)
+        found = S.Search(sampler.lattice, words, counts, S.row_keys(pa.array(range(len(texts)), pa.int64()), CFG.seed), CFG.samples)
+        return found, found.run()
+
+    short, got = search(S.Search.AHEAD)
+    assert short.size[:, 0].min() > 1000 and (short.noted - short.own)[:, 0].max() <= S.Search.AHEAD
+    assert [sum(t in s.text for s in got) for t in range(len(texts))] == [4, 4, 1, 4, 1]  # choices come after 900 steps without one
+    for ahead in (1, 1 << 30):
+        for a, b in zip(got, search(ahead)[1], strict=True):
+            assert a.text.tolist() == b.text.tolist() and a.edges.tolist() == b.edges.tolist()
+            assert a.log_prob == pytest.approx(b.log_prob) and a.inclusion == pytest.approx(b.inclusion)
+
+
+def test_bounds_of_keys_follow_the_probabilities(v):
+    lattice = S.Lattice(v, CFG)
+    lattice.add([S.SPACE + "nation", "日", S.SPACE])
+    lattice.add([S.SPACE + "the"])
+    for begin, degree in zip(lattice.begin[: lattice.size[1]], lattice.degree[: lattice.size[1]]):
+        edges = range(begin, begin + degree)
+        share = np.cumsum(np.exp(lattice.logp[edges]))
+        assert [b / 2**64 for b in lattice.step["bound"][edges].tolist()] == pytest.approx(share.tolist(), abs=1e-12)
+        assert not degree or int(lattice.step["bound"][begin + degree - 1]) == 2**64 - 1
+    u = np.arange(1, 2000, dtype=np.uint64) * np.uint64((2**64 - 1) // 2000) | np.uint64(1)
+    first = int(lattice.first[0])
+    n, edges = lattice.walk(np.full(len(u), first), u)
+    p = np.exp(lattice.logp[first : first + lattice.degree[lattice.start[first]]])
+    taken = np.bincount(edges[np.cumsum(n) - n] - first, minlength=len(p)) / len(u)
+    assert taken.tolist() == pytest.approx(p.tolist(), abs=1e-3)
+
+
+def test_trie_and_pieces_of_any_length(v):
+    pieces = {s.decode(): i for i, s in enumerate(v.surface) if i >= 259 and s}
+    starts = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+    words = [w for w in list(pieces)[::97]] + ["zzq", "日a", "a日", "éa"]
+    letters = lambda w: v.letter[[ord(c) for c in w]].astype(np.int64)
+    for word in words:
+        node, before = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for level in range(len(word)):
+            now = letters(word)[level : level + 1]
+            node, before = v.below(level, node, now, before), now
+            assert bool(node[0]) == (word[: level + 1] in starts)
+            if not node[0]:
+                break
+            assert v.final[node[0]] == pieces.get(word[: level + 1], -1)
+    ids, texts = np.array([pieces[S.SPACE + "characteristics"], pieces["a"]]), ["characteristicsa", "characteristic a", "characteristicsb"]
+    assert v.spells(np.tile(ids, 3), np.full(3, 2), v.targets(texts), np.arange(3)).tolist() == [True, False, False]
